@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import bpe, chat, decontam, licenses, secrets
+from sediment.llm import bpe, chat, classifier, decontam, licenses, quality, secrets, simhash
 from sediment.llm.common import table
 
 #: The tokenizer file that op8 and the pipeline use.
@@ -20,6 +20,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: three-word shingles, two bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of every document by rules that adapt to language and source."""
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return classifier.score(docs, *classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_text=False)
@@ -51,6 +68,9 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op4_licenses": op4_licenses,
+    "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
+    "op7_classifier": op7_classifier,
     "op8_bpe": op8_bpe,
     "op9_chat": op9_chat,
     "op10_decontam": op10_decontam,
