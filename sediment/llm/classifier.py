@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import arrow_map, fold
+from sediment.llm.common import arrow_map, fold, prepare
 
 #: Stands for a token that equals the one before it.
 REPEATED = 1
@@ -145,7 +145,5 @@ def accepted(docs: DataFrame, weights: np.ndarray, bias: float, s: Settings = Se
                 keep.append(1 / (1 + np.exp(-min(35.0, max(-35.0, v)))) >= least)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    from sediment.llm.common import BATCH_BYTES
-
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    prepare(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

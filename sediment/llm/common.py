@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sediment.session import ship
+
 #: Bytes of input that one Arrow batch may carry to a Python worker.
 BATCH_BYTES = 16 << 20
 
@@ -21,14 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so long texts don't pile up in a worker, and let workers import this package."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    ship(spark)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[dict[str, list], int], dict[str, list]], schema: str, binary: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``fn(columns, rows) -> columns`` to each Arrow batch of ``df``.
 
     Columns named in ``binary`` arrive as bytes of their UTF-8 text, the rest as Python values.
-    Batches are bounded by bytes, so long texts don't pile up in a worker.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    prepare(df.sparkSession)
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import LOWER, UPPER, arrow_map
+from sediment.llm.common import LOWER, UPPER, arrow_map, prepare
 
 #: Words of items that one automaton may hold; more items go to further automata.
 BLOCK_WORDS = 1_000_000
@@ -289,7 +289,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, limit
                 cols[j] = pa.array([o if s is None else s for o, s in zip(old, sizes, strict=True)], cols[j].type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    from sediment.llm.common import BATCH_BYTES
-
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    prepare(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import bpe, chat, classifier, decontam, licenses, quality, secrets, simhash
+from sediment.llm import bpe, brown, chat, classifier, decontam, licenses, quality, secrets, simhash
 from sediment.llm.common import table
 
 #: The tokenizer file that op8 and the pipeline use.
@@ -20,6 +20,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based n-gram score of every document, next to the unigram base."""
+    return brown.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: three-word shingles, two bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
@@ -67,6 +72,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_brown": op2_brown,
     "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,

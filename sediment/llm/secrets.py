@@ -14,7 +14,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from sediment.llm.common import BATCH_BYTES, arrow_map
+from sediment.llm.common import arrow_map, prepare
 
 #: Kinds in the order of ties, with their patterns and least lengths (of group 2 or of the match).
 #: Fixed values.
@@ -140,7 +140,7 @@ def secret_scan(docs: DataFrame, least: float = 0.7, around: int = 2048) -> Data
 def redact(docs: DataFrame, least: float = 0.7, around: int = 2048, mark: str = "[REDACTED]") -> DataFrame:
     """``docs`` with every span replaced by ``mark``; rows and columns stay, ``n_chars`` follows the text."""
     names = docs.columns
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    prepare(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
