@@ -130,8 +130,10 @@ def _coder(spec: str) -> ForcedBoundaryBpe:
     return _MADE[key]
 
 
-def bpe_encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
-    """Rows (key, ids binary, decoded string) or, without ``with_text``, digests of both.
+def bpe_encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_text: bool = True, with_ids: bool = False) -> DataFrame:
+    """Rows (key, n_tokens, ids binary, decoded string) or, without ``with_text``, digests of both.
+
+    ``with_ids`` adds the ids to the digests.
 
     ``path`` names a tokenizer file on the driver; its content (a vocabulary, of fixed size) goes to
     the executors. A null text counts as empty: no ids, empty decoded text. Repeated rows are encoded
@@ -147,8 +149,10 @@ def bpe_encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         out = {key: cols["key"], "n_tokens": [len(x) // 4 for x in ids]}
         if with_text:
             return out | {"ids": ids, "decoded": [x.decode() for x in back]}
+        if with_ids:
+            out["ids"] = ids
         return out | {"ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back]}
 
-    shape = "ids binary,decoded string" if with_text else "ids_sha256 string,decoded_sha256 string"
+    shape = "ids binary,decoded string" if with_text else "ids binary," * with_ids + "ids_sha256 string,decoded_sha256 string"
     kind = docs.schema[key].dataType.simpleString().replace("bigint", "long")
     return arrow_map(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"{key} {kind},n_tokens long,{shape}", binary=("text",))

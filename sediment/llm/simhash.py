@@ -52,13 +52,14 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(total * 2 > n).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """Rows (doc_id, fp long) for every row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, fp long) for every row of ``docs``, with the long columns ``carry`` as they are."""
 
     def run(cols: dict, n: int) -> dict:
-        return {"doc_id": cols["doc_id"], "fp": [fingerprint(t or b"", shingle) for t in cols["text"]]}
+        return {k: cols[k] for k in ("doc_id", *carry)} | {"fp": [fingerprint(t or b"", shingle) for t in cols["text"]]}
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long,fp long", binary=("text",))
+    schema = ",".join(["doc_id long", *[f"{k} long" for k in carry], "fp long"])
+    return arrow_map(docs.select("doc_id", *carry, "text"), run, schema, binary=("text",))
 
 
 def _counts(fp: Column) -> Column:
@@ -114,18 +115,37 @@ def links(fps: DataFrame, radius: int = 2, groups: int = 5, crowd: int = 64) ->
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, groups: int = 5, crowd: int = 64) -> DataFrame:
-    """Rows (doc_id, fp, component_id) for every row of ``docs``.
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, groups: int = 5, crowd: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, carry..., fp, component_id) for every row of ``docs``.
 
     Equal fingerprints meet in one row before any search, so groups of copies of any size cost a
     partial aggregate. A null or empty text has fingerprint zero and links like any other; rows of a
     repeated id take part each with its own text; a null id names no component unless there is no other.
     """
-    made = stored(fingerprints(docs, shingle), "fingerprints")
+    made = stored(fingerprints(docs, shingle, carry), "fingerprints")
     nodes = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = stored(links(nodes.select("fp"), radius, groups, crowd), "links")
     whole = components(found)
     top = whole.join(nodes, whole["node"] == nodes["fp"]).groupBy("component").agg(F.min("least").alias("low"))
     linked = whole.join(top, "component").select(F.col("node").alias("fp"), "low")
     named = stored(nodes.join(linked, "fp", "left").select("fp", F.coalesce("low", "least").alias("component_id")), "components")
-    return made.join(named, "fp").select("doc_id", "fp", "component_id")
+    return made.join(named, "fp").select("doc_id", *carry, "fp", "component_id")
+
+
+def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = 2, groups: int = 5, crowd: int = 64) -> DataFrame:
+    """One row of ``docs`` for each component, that of the least id, all columns as they were.
+
+    Null ids come after others. Of rows with equal id the one of least hash stays; of rows equal in
+    every column one stays. Only ids and hashes are shuffled; whole rows move where rows are repeated.
+    """
+    names = docs.columns
+    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), "__row": F.xxhash64(*names)})
+    found = stored(near_duplicates(own, shingle, radius, groups, crowd, carry=("__id", "__row")), "near")
+    first = F.struct("__id", "__row")
+    keep = found.groupBy("component_id").agg(F.min(first).alias("first"))
+    each = found.groupBy("component_id", "__id", "__row").agg(F.count(F.lit(1)).alias("n"))
+    marked = each.join(keep, each["component_id"].eqNullSafe(keep["component_id"])).select("__id", "__row", "n", (F.col("first") == first).alias("stays"))
+    marked = stored(marked.groupBy("__id", "__row").agg(F.sum("n").alias("n"), F.max("stays").alias("stays")).where("n > 1 OR NOT stays"), "marked")
+    once = own.join(marked.select("__id", "__row"), ["__id", "__row"], "left_anti")
+    again = own.join(marked.where("stays").select("__id", "__row"), ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"])
+    return once.unionByName(again).select(*names)
