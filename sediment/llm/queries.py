@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import bpe, brown, chat, classifier, decontam, licenses, quality, secrets, simhash
+from sediment.llm import bpe, brown, chat, classifier, decontam, licenses, quality, secrets, simhash, suffix
 from sediment.llm.common import table
 
 #: The tokenizer file that op8 and the pipeline use.
@@ -25,6 +25,11 @@ def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that stands in more than one document."""
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: three-word shingles, two bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
@@ -73,6 +78,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_brown": op2_brown,
+    "op3_suffix": op3_suffix,
     "op4_licenses": op4_licenses,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
