@@ -174,7 +174,7 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
             joint[a] -= r
             joint[:, a] -= c
             joint[a, a] -= own
-            rows, cols = joint.sum(1), joint.sum(0)
+            rows, cols = joint.sum(1) + c, joint.sum(0) + r
             gain = (f(joint + r) - f(joint)).sum(1) + (f(joint + c[:, None]) - f(joint)).sum(0)
             d = np.arange(k)
             diag = joint[d, d]
