@@ -102,7 +102,7 @@ def _fold(rows: DataFrame, agg: Aggregate) -> Any:
     from sediment.session import ship
 
     ship(rows.sparkSession)
-    parts = rows.mapInArrow(run, "part int, state binary").collect()
+    parts = rows.mapInArrow(run, "part long, state binary").collect()
     state = agg.initial()
     for row in sorted(parts, key=lambda r: r["part"]):
         state = agg.merge(state, pickle.loads(bytes(row["state"])))
