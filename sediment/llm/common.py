@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.session import ship
+from sediment.storage import remove, stored
 
 #: Bytes of input that one Arrow batch may carry to a Python worker.
 BATCH_BYTES = 16 << 20
@@ -43,13 +43,13 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list], int], dict[str, list
             for name, col in zip(batch.schema.names, batch.columns, strict=True):
                 cols[name] = (col.cast(pa.binary()) if name in binary else col).to_pylist()
             out = fn(cols, batch.num_rows)
-            kinds = _KINDS
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], kinds[k]) for n, k in zip(names, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(out[n], _KINDS[k]) for n, k in zip(names, types, strict=True)], names=names)
 
     types = [x.split()[1] for x in schema.split(",")]
     return df.mapInArrow(run, schema)
 
 
+#: Arrow types of the schemas given to ``arrow_map``.
 _KINDS = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(),
     "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()), "array<float>": pa.list_(pa.float32()),
@@ -61,34 +61,10 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what the cluster names, or one set here where none is named."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    import os
-    import tempfile
-
-    home = os.path.join(tempfile.gettempdir(), f"sediment-{sc.applicationId}")
-    return f"file://{home}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, file.rpartition("/")[0])
 
 
 def components(edges: DataFrame) -> DataFrame:
