@@ -5,10 +5,12 @@ the positions whose k-gram has the least hash in some window of ``window`` k-gra
 ``length`` words hold a common minimiser within their first ``window`` words, so both keep a suffix
 there that agrees on at least ``length - window + 1`` words: the key.
 
-Kept suffixes are sorted by key, then by a longer prefix (ranks of doubled length), and each is compared
-with its neighbours from other texts, before and after. Neighbours on one diagonal of the same two
-texts are put together, then both texts are read once and the match is extended word by word to the
-left and to the right. Only matches verified that way, of ``length`` words or more, are reported.
+Kept suffixes are sorted by key and by the words that follow it, and a second time by key and the words
+before it, backwards (four bits of hash a word, sixteen words deep: enough to order, as every match is
+verified). Each is compared with its neighbours from other texts, before and after, in both orders.
+Neighbours on one diagonal of the same two texts are put together, then both texts are read once and
+the match is extended word by word to the left and to the right. Only matches verified that way, of
+``length`` words or more, are reported.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 #: Rows of one key that are sorted together; a key with more is dealt out by document.
 CROWD = 4096
+#: Words that a rank looks at.
+DEEP = 16
 
 
 class _Hashes(dict):
@@ -71,12 +75,12 @@ class Prefixes:
         return _mixed((self.total[end] - self.total[start]) * self.back[start])
 
 
-def anchors(h: np.ndarray, k: int, window: int, need: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser positions with ``need`` words to their right, keys and hashes of the doubled prefix."""
+def anchors(h: np.ndarray, k: int, window: int, need: int) -> tuple[np.ndarray, ...]:
+    """Minimiser positions with ``need`` words to their right, keys, and ranks of the words after the key and before the position."""
     n = len(h)
     none = np.zeros(0, np.int64)
     if n < need + window - 1:
-        return none, none, none
+        return none, none, none, none
     with np.errstate(over="ignore"):
         ranges = Prefixes(h)
         at = np.arange(n - k + 1)
@@ -85,28 +89,33 @@ def anchors(h: np.ndarray, k: int, window: int, need: int) -> tuple[np.ndarray,
         pick = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
         pick = pick[pick + need <= n]
         key = ranges.of(pick, pick + need)
-        more = ranges.of(pick, np.minimum(pick + 2 * need, n))
-    return pick, key.view(np.int64), more.view(np.int64)
+    few = np.concatenate((np.zeros(DEEP, np.uint64), h >> np.uint64(60), np.zeros(DEEP, np.uint64)))
+    after, before = np.zeros(len(pick), np.uint64), np.zeros(len(pick), np.uint64)
+    for i in range(DEEP):
+        place = np.uint64(60 - 4 * i)
+        after |= few[pick + need + i + DEEP] << place
+        before |= few[pick - 1 - i + DEEP] << place
+    return pick, key.view(np.int64), after.view(np.int64), before.view(np.int64)
 
 
 def _suffixes(docs: DataFrame, k: int, window: int, need: int) -> DataFrame:
     def run(cols: dict, n: int) -> dict:
-        known, out = _Hashes(), ([], [], [], [], [])
+        known, out = _Hashes(), ([], [], [], [], [], [])
         for i, row, text in zip(cols["id"], cols["row"], cols["text"], strict=True):
             words = words_of(text)
-            pick, key, more = anchors(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), k, window, need)
-            for c, v in zip(out, (np.full(len(pick), i), np.full(len(pick), row), pick, key, more), strict=True):
+            pick, *ranks = anchors(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), k, window, need)
+            for c, v in zip(out, (np.full(len(pick), i), np.full(len(pick), row), pick, *ranks), strict=True):
                 c.append(v)
-        return {name: np.concatenate(c).astype(np.int64) if c else [] for name, c in zip(("id", "row", "pos", "key", "more"), out, strict=True)}
+        return {name: np.concatenate(c).astype(np.int64) if c else [] for name, c in zip(("id", "row", "pos", "key", "after", "before"), out, strict=True)}
 
-    return arrow_map(docs.select("id", "row", "text"), run, "id long,row long,pos long,key long,more long", binary=("text",))
+    return arrow_map(docs.select("id", "row", "text"), run, "id long,row long,pos long,key long,after long,before long", binary=("text",))
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """Each suffix with its nearest neighbours from other texts in sorted order, before and after."""
+    """Each suffix with its nearest neighbours from other texts, before and after, in both orders."""
 
     def pairs(block: np.ndarray, out: list[np.ndarray]) -> None:
-        """block: columns id, row, pos of one key in sorted order."""
+        """block: columns id, row, pos of one key in one order."""
         n = len(block)
         new = np.concatenate(([True], (block[1:, 0] != block[:-1, 0]) | (block[1:, 1] != block[:-1, 1])))
         first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -116,15 +125,18 @@ def _neighbours(rows: DataFrame) -> DataFrame:
             out.append(np.hstack((block[mine], block[mate])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 5), np.int64)
+        held = np.zeros((0, 6), np.int64)
         names = ["id", "row", "pos", "id2", "row2", "pos2"]
 
         def done(rows: np.ndarray) -> pa.RecordBatch:
             out: list[np.ndarray] = [np.zeros((0, 6), np.int64)]
-            cut = np.flatnonzero(np.any(rows[1:, 3:] != rows[:-1, 3:], axis=1)) + 1
+            cut = np.flatnonzero(np.any(rows[1:, 4:] != rows[:-1, 4:], axis=1)) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(rows)], strict=True):
                 if b - a > 1:
-                    pairs(rows[a:b, :3], out)
+                    block = rows[a:b]
+                    pairs(block[:, :3], out)
+                    if b - a > 2:
+                        pairs(block[np.lexsort((block[:, 2], block[:, 1], block[:, 0], block[:, 3]))][:, :3], out)
             table = np.concatenate(out)
             return pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(6)], names=names)
 
@@ -132,14 +144,14 @@ def _neighbours(rows: DataFrame) -> DataFrame:
             rows = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns], axis=1)))
             if not len(rows):
                 continue
-            cut = np.flatnonzero(np.any(rows[:, 3:] != rows[-1, 3:], axis=1))
+            cut = np.flatnonzero(np.any(rows[:, 4:] != rows[-1, 4:], axis=1))
             last = int(cut[-1]) + 1 if len(cut) else 0
             held = rows[last:]
             if last:
                 yield done(rows[:last])
         yield done(held)
 
-    return rows.select("id", "row", "pos", "key", "salt").mapInArrow(run, "id long, row long, pos long, id2 long, row2 long, pos2 long")
+    return rows.select("id", "row", "pos", "before", "key", "salt").mapInArrow(run, "id long, row long, pos long, id2 long, row2 long, pos2 long")
 
 
 def extended(words: list[bytes], others: list[bytes], a: int, b: int, shift: int, length: int) -> list[tuple[int, int]]:
@@ -176,7 +188,7 @@ def repeated_passages(docs: DataFrame, length: int = 50, window: int = 30, k: in
     counts = stored(made.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
     salt = F.pmod(F.xxhash64("id", "row"), F.greatest(F.lit(1).cast("long"), (F.col("n") / CROWD).cast("long")))
     met = made.join(counts, "key").withColumn("salt", salt)
-    order = met.repartition("key", "salt").sortWithinPartitions("key", "salt", "more", "id", "row", "pos")
+    order = met.repartition("key", "salt").sortWithinPartitions("key", "salt", "after", "id", "row", "pos")
     near = _neighbours(order)
     found = stored(near.groupBy("id", "row", "id2", "row2").agg(F.collect_set(F.struct("pos", "pos2")).alias("hits")), "neighbours")
     texts = rows.select("id", "row", "text")
