@@ -32,21 +32,50 @@ def _step(links: DataFrame, frontier: DataFrame, direction: str) -> DataFrame:
     return up if direction == BACKWARD else down.union(up).distinct()
 
 
+#: A frontier of up to this many ids goes into the next level's predicate, where file statistics can
+#: use it; a larger one is a written table and a join.
+MOST_LITERALS = 1000
+
+
 def _levels(events: DataFrame, start, direction: str, max_depth: int) -> DataFrame:
-    """Rows (id, depth) reached from ``start``, itself excluded."""
+    """Rows (id, depth) reached from ``start``, itself excluded.
+
+    While a level is small it costs one filtered scan and a bounded collect; from the first level that
+    is not, levels are joins, each written to the shared folder.
+    """
     spark = events.sparkSession
     links = _links(events)
     kind = dict(events.dtypes)["id"]
-    frontier = spark.range(1).select(F.lit(start).cast(kind).alias("id"))
-    found = spark.createDataFrame([], f"id {kind}, depth int")
-    depth = 0
+    ids, found, depth = [start], [], 0
+    if direction == BACKWARD:
+        row = links.where(F.col("id") == F.lit(start).cast(kind)).first()
+        ids = [row["cause"]] if row is not None and row["cause"] is not None else []
+        while ids and depth < max_depth:
+            depth += 1
+            row = links.where(F.col("id") == F.lit(ids[0]).cast(kind)).first()
+            if row is None:
+                break
+            found.append((row["id"], depth))
+            ids = [] if row["cause"] is None else [row["cause"]]
+        return spark.createDataFrame(found, f"id {kind}, depth int")
+    while ids and depth < max_depth:
+        more = links.where(F.col("cause").isin(ids)).select("id").limit(MOST_LITERALS + 1).collect()
+        if len(more) > MOST_LITERALS:
+            break
+        depth += 1
+        ids = [r["id"] for r in more]
+        found += [(i, depth) for i in ids]
+    near = spark.createDataFrame(found, f"id {kind}, depth int")
+    if not ids or depth >= max_depth:
+        return near
+    frontier = spark.createDataFrame([(i,) for i in ids], f"id {kind}")
     while depth < max_depth:
         depth += 1
         frontier = stored(_step(links, frontier, direction), "level")
         if frontier.isEmpty():
             break
-        found = found.union(frontier.withColumn("depth", F.lit(depth)))
-    return found
+        near = near.union(frontier.withColumn("depth", F.lit(depth)))
+    return near
 
 
 _WALK = ("timestamp_us", "stream_id", "branch", "version")

@@ -115,6 +115,17 @@ def test_walks(log):
     assert Sampling("adaptive", 7).per_level(3) == 2 and Sampling("adaptive", 1).per_level(9) == 1
 
 
+def test_wide_levels_join_as_narrow_ones_do(log, monkeypatch):
+    from sediment.plans import graph
+
+    root = log.append(ev(0))
+    kids = log.append_batch([ev(i, causation_id=root) for i in range(1, 6)])
+    log.append_batch([ev(10 + i, causation_id=k) for i, k in enumerate(kids)])
+    narrow = ns(log.walk_causation(root))
+    monkeypatch.setattr(graph, "MOST_LITERALS", 3)
+    assert ns(log.walk_causation(root)) == narrow == [1, 2, 3, 4, 5, 10, 11, 12, 13, 14]
+
+
 class Sum(Aggregate):
     def initial(self):
         return 0
