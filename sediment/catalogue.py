@@ -497,6 +497,25 @@ def append_dedup(spark, d):
     return new.select("id", "stream_id", "branch", (F.row_number().over(W.partitionBy("stream_id", "branch").orderBy("id")).cast("long") - 1).alias("version"))
 
 
+@query("""WITH f AS (SELECT event_type, type_version, k, min(id) AS id FROM log GROUP BY event_type, type_version, k)
+SELECT external_id, stream_id, branch, row_number() OVER (PARTITION BY stream_id, branch ORDER BY log.id) - 1 AS version FROM log JOIN f ON log.id = f.id""")
+def log_append(spark, d):
+    """All events appended to a real log, twice: content ids make them one, and the second time adds nothing."""
+    import uuid
+
+    from sediment.sources.log import EventLog
+    from sediment.storage import shared_dir
+
+    rows = event_log(spark, d)
+    log = EventLog(spark, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}")
+    log.declare_frame(rows, "catalogue")
+    none = F.lit(None).cast("binary")
+    incoming = rows.select(F.col("id").alias("ordinal"), "stream_id", "branch", "timestamp_us", none.alias("causation_id"), none.alias("correlation_id"), "event_type", "type_version", "payload", "external_id", "indexed_tags")
+    for _ in range(2):
+        log.append_frame(incoming)
+    return log.raw.where(~glob.is_system(F.col("stream_id"))).select("external_id", "stream_id", "branch", "version")
+
+
 @query("SELECT id, stream_id FROM log WHERE id % 2 = 1")
 def append_idempotent(spark, d):
     """Appending everything to a log that holds the even ids adds the odd ones."""

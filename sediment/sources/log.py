@@ -22,7 +22,7 @@ from sediment.functions import glob, identity
 from sediment.model import (
     BRANCH_SCHEMA, CURSOR_SCHEMA, EVENT_SCHEMA, MAIN, SNAPSHOT_SCHEMA, STREAM_SCHEMA, SYSTEM,
     Append, BranchExists, BranchLifecycleError, BranchNotFound, EventNotFound, InvalidIndexedTags, NoEventsToSnapshot,
-    PurgeConfirmationError, ReadOutcome, Sampling, StoreNotFound, StreamNotDeclared, validate_branch_id, validate_stream_id,
+    InvalidStreamId, PurgeConfirmationError, ReadOutcome, Sampling, StoreNotFound, StreamNotDeclared, valid_stream_id, validate_branch_id, validate_stream_id,
 )
 from sediment.operators import branches as lineage
 from sediment.operators import fold
@@ -100,8 +100,9 @@ class EventLog:
         self.spark.createDataFrame(list(rows), _TABLES[name]).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
 
     def _write_events(self, df: DataFrame) -> None:
+        """Range partitions split a hot stream, branch or root over files; each file is sorted."""
         rows = df.withColumn("root", F.split("stream_id", "/")[0])
-        rows.repartition("branch", "root").sortWithinPartitions("branch", "root", "stream_id", "version").write.mode("append").partitionBy("branch", "root").parquet(f"{self.path}/events")
+        rows.repartitionByRange("branch", "root", "stream_id", "version").sortWithinPartitions("branch", "root", "stream_id", "version").write.mode("append").partitionBy("branch", "root").parquet(f"{self.path}/events")
 
     # Streams
 
@@ -110,6 +111,15 @@ class EventLog:
         validate_stream_id(stream_id)
         self._add("streams", (stream_id, declared_by, now_us(), description, time.time_ns()))
 
+    def declare_frame(self, ids: DataFrame, declared_by: str) -> None:
+        """Declare every stream in column ``stream_id`` at once."""
+        new = ids.select("stream_id").distinct()
+        bad = new.where(~valid_stream_id(F.col("stream_id"))).first()
+        if bad is not None:
+            raise InvalidStreamId(bad["stream_id"])
+        row = [F.col("stream_id").alias("id"), F.lit(declared_by).alias("declared_by"), F.lit(now_us()).alias("declared_at"), F.lit(None).cast("string").alias("description"), F.lit(time.time_ns()).alias("seq")]
+        new.select(*row).write.mode("append").parquet(f"{self.path}/streams")
+
     def _declared(self) -> DataFrame:
         first = self._table("streams").groupBy("id").agg(F.min_by(F.struct("declared_by", "declared_at", "description"), "seq").alias("s"))
         return first.select("id", "s.*")
