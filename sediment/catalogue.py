@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions import glob, identity
 from sediment.operators import branches, evolve, fold
-from sediment.operators.similarity import KnnIndex
+from sediment.operators.similarity import KnnIndex, knn_batch
 from sediment.plans import aggregate, graph, reads
 from sediment.plans.aggregate import AggregateQuery
 from sediment.session import ship
@@ -516,13 +516,6 @@ def log_append(spark, d):
     return log.raw.where(~glob.is_system(F.col("stream_id"))).select("external_id", "stream_id", "branch", "version")
 
 
-@query("SELECT id, stream_id FROM log WHERE id % 2 = 1")
-def append_idempotent(spark, d):
-    """Appending everything to a log that holds the even ids adds the odd ones."""
-    log = event_log(spark, d)
-    return log.join(log.where("id % 2 = 0").select("id"), "id", "left_anti").select("id", "stream_id")
-
-
 @query("""SELECT id, sha256(length(event_type) || ':' || event_type || '|' || length(CAST(type_version AS VARCHAR)) || ':' || type_version || '|0:|' || length('{"k":' || k || '}') || ':' || '{"k":' || k || '}') AS sha FROM log""")
 def identity_sha256(spark, d):
     log = event_log(spark, d)
@@ -573,6 +566,27 @@ for _name, (_metric, _pattern, _expr) in _KNN.items():
     query(f"WITH {_Q} SELECT key, round(score, 6) AS score FROM (SELECT key, {_expr} AS score FROM x, q {_where}) ORDER BY score, key LIMIT 10", raw=True)(_fn)
 
 
+def _knn_batch(metric: str) -> Query:
+    def run(spark, d):
+        rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("key"), "embedding")
+        wanted = rows.where("key % 20 = 0").select(F.col("key").alias("query"), "embedding")
+        return knn_batch(rows, wanted, 10, metric).withColumn("score", F.round("score", 6) + 0.0)
+
+    return run
+
+
+for _name, _like in {"knn_batch_cosine": "knn_cosine", "knn_batch_l2": "knn_l2", "knn_batch_ip": "knn_ip"}.items():
+    _metric, _, _expr = _KNN[_like]
+    _fn = _knn_batch(_metric)
+    _fn.__name__ = _name
+    query(
+        f"""WITH x AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT key AS query, e AS v FROM x WHERE key % 20 = 0),
+s AS (SELECT query, key, round({_expr}, 9) AS score FROM q, x)
+SELECT query, key, round(score, 6) + 0 AS score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score, key) <= 10""",
+        raw=True,
+    )(_fn)
+
+
 def _drained(spark: SparkSession, d: str, transform: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Run a stream over the events file to its end and read back what its batches wrote."""
     import uuid

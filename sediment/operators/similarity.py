@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sediment.functions.glob import matching
 from sediment.model import DimensionMismatch
+from sediment.session import ship
 
 METRICS = {"cosine": "cosine", "euclidean": "euclidean", "l2": "euclidean", "inner_product": "inner_product", "dot": "inner_product"}
 
@@ -32,6 +36,78 @@ def distance(vector: Column, query: Sequence[float], metric: str) -> Column:
     return F.when((norm == 0) | F.lit(size == 0), F.lit(1.0)).otherwise(1 - total / (norm * F.lit(size)))
 
 
+#: Query vectors that go out together, and rows compared with them at once.
+BLOCK, CHUNK = 1024, 4096
+
+
+def _block_distances(q: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
+    """Distances (queries, rows), rounded to nine digits so that equal vectors tie."""
+    dots = q @ x.T
+    if kind == "inner_product":
+        return np.round(1 - dots, 9)
+    a, b = (q * q).sum(1)[:, None], (x * x).sum(1)[None, :]
+    if kind == "euclidean":
+        return np.round(np.sqrt(np.maximum(a + b - 2 * dots, 0)), 9)
+    size = np.sqrt(a * b)
+    return np.round(np.where(size == 0, 1.0, 1 - dots / np.where(size == 0, 1.0, size)), 9)
+
+
+def _top(query: np.ndarray, key: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` first of each query by score, then key."""
+    order = np.lexsort((key, score, query))
+    query, key, score = query[order], key[order], score[order]
+    start = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1]))) if len(query) else np.zeros(0, int)
+    place = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
+    return query[place < k], key[place < k], score[place < k]
+
+
+def knn_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """Rows (query, key, score): the ``k`` nearest of ``rows`` (key, embedding) to each of ``queries`` (query, embedding), exact.
+
+    Queries go out in blocks of bounded size; each task keeps the ``k`` best of its rows for a block,
+    and only those meet. Keys and queries are longs; null vectors have no distance and are left out.
+    """
+    kind, spark = METRICS[metric], rows.sparkSession
+    ship(spark)
+    parts, block = [], []
+
+    def search(ids: list[int], vectors: list[list[float]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for batch in batches:
+                keys = batch.column(0).to_numpy()
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if len(keys) and len(flat) != len(keys) * q.shape[1]:
+                    raise DimensionMismatch(f"the queries have {q.shape[1]} dimensions")
+                x = flat.reshape(len(keys), q.shape[1])
+                for i in range(0, len(keys), CHUNK):
+                    d = _block_distances(q, x[i : i + CHUNK], kind)
+                    limit = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                    a, b = np.nonzero(d <= limit[:, None])
+                    best = _top(*(np.concatenate(z) for z in zip(best, (a, keys[i + b], d[a, b]), strict=True)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(names[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query", "key", "score"])
+
+        return rows.where(F.col("embedding").isNotNull()).select(F.col("key").cast("long").alias("key"), "embedding").mapInArrow(run, "query long, key long, score double")
+
+    for row in queries.where(F.col("embedding").isNotNull()).select("query", "embedding").toLocalIterator():
+        block.append((row["query"], row["embedding"]))
+        if len(block) == BLOCK:
+            parts.append(search(*map(list, zip(*block, strict=True))))
+            block = []
+    if block:
+        parts.append(search(*map(list, zip(*block, strict=True))))
+    if not parts:
+        return spark.createDataFrame([], "query long, key long, score double")
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    place = F.row_number().over(W.partitionBy("query").orderBy("score", "key"))
+    return whole.withColumn("_place", place).where(F.col("_place") <= max(0, k)).drop("_place")
+
+
 class KnnIndex:
     """Embeddings (key, stream_id or null, embedding) searched exactly; the filter comes before the ranking.
 

@@ -286,6 +286,24 @@ def test_similarity(spark, log):
     assert KnnIndex.load(spark, f"{log.path}/knn", 2, "l2").query([0, 0.9], 1).first()["key"] == 2
 
 
+def test_batch_search_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from sediment.operators import similarity
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(-2, 3, (60, 4)).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "key long, embedding array<double>").repartition(3)
+    queries = rows.where("key < 7").withColumnRenamed("key", "query")
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    monkeypatch.setattr(similarity, "CHUNK", 8)
+    for metric, kind in similarity.METRICS.items():
+        d = similarity._block_distances(x[:7], x, kind)
+        want = {(q, int(i)) for q in range(7) for i in np.lexsort((np.arange(60), d[q]))[:5]}
+        assert {(r["query"], r["key"]) for r in similarity.knn_batch(rows, queries, 5, metric).collect()} == want
+    assert similarity.knn_batch(rows, queries.limit(0), 5).count() == 0
+
+
 def test_subscription_is_live_only_and_resumes(log, tmp_path):
     log.append_batch([ev(0), ev(1)])
     got = []
