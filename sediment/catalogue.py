@@ -547,7 +547,7 @@ def _knn(metric: str, pattern: str | None = None) -> Query:
     def run(spark, d):
         rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("key"), F.concat(F.lit("emb/"), F.col("label").cast("string")).alias("stream_id"), "embedding")
         q = [float(x) for x in rows.orderBy("key").select("embedding").first()[0]]
-        return KnnIndex(rows, len(q), metric).query(q, 10, pattern).select("key", F.round("score", 6).alias("score"))
+        return KnnIndex(rows, len(q), metric).query(q, 10, pattern).select("key", (F.round("score", 6) + 0.0).alias("score"))
 
     return run
 
@@ -563,7 +563,7 @@ for _name, (_metric, _pattern, _expr) in _KNN.items():
     _fn = _knn(_metric, _pattern)
     _fn.__name__ = _name
     _where = "WHERE label = 1 " if _pattern else ""
-    query(f"WITH {_Q} SELECT key, round(score, 6) AS score FROM (SELECT key, {_expr} AS score FROM x, q {_where}) ORDER BY score, key LIMIT 10", raw=True)(_fn)
+    query(f"WITH {_Q} SELECT key, round(score, 6) + 0 AS score FROM (SELECT key, {_expr} AS score FROM x, q {_where}) ORDER BY score, key LIMIT 10", raw=True)(_fn)
 
 
 def _knn_batch(metric: str) -> Query:
