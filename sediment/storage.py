@@ -13,7 +13,7 @@ from sediment.session import ship
 
 def shared_dir(spark: SparkSession) -> str:
     """What the cluster names in spark.checkpoint.dir; a folder of this session where it names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     return f"file://{os.path.join(tempfile.gettempdir(), 'sediment-' + spark.sparkContext.applicationId)}"
