@@ -75,6 +75,23 @@ class Prefixes:
         return _mixed((self.total[end] - self.total[start]) * self.back[start])
 
 
+def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` (minimum or maximum) over every run of ``width`` values, by runs of doubled width."""
+    size = 1
+    while 2 * size <= width:
+        x = pick(x[:-size], x[size:])
+        size *= 2
+    rest = width - size
+    return pick(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
+    """Positions that are the least of some window (all of them where several tie)."""
+    least = sliding(grams, window, np.minimum)
+    edge = np.zeros(window - 1, grams.dtype)
+    return np.flatnonzero(sliding(np.concatenate((edge, least, edge)), window, np.maximum) == grams)
+
+
 def anchors(h: np.ndarray, k: int, window: int, need: int) -> tuple[np.ndarray, ...]:
     """Minimiser positions with ``need`` words to their right, keys, and ranks of the words after the key and before the position."""
     n = len(h)
@@ -85,16 +102,14 @@ def anchors(h: np.ndarray, k: int, window: int, need: int) -> tuple[np.ndarray,
         ranges = Prefixes(h)
         at = np.arange(n - k + 1)
         grams = ranges.of(at, at + k)
-        windows = np.lib.stride_tricks.sliding_window_view(grams, window)
-        pick = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+        pick = minimisers(grams, window)
         pick = pick[pick + need <= n]
         key = ranges.of(pick, pick + need)
     few = np.concatenate((np.zeros(DEEP, np.uint64), h >> np.uint64(60), np.zeros(DEEP, np.uint64)))
-    after, before = np.zeros(len(pick), np.uint64), np.zeros(len(pick), np.uint64)
-    for i in range(DEEP):
-        place = np.uint64(60 - 4 * i)
-        after |= few[pick + need + i + DEEP] << place
-        before |= few[pick - 1 - i + DEEP] << place
+    step = np.arange(DEEP)
+    place = (60 - 4 * step).astype(np.uint64)
+    after = (few[pick[:, None] + (need + DEEP) + step] << place).sum(axis=1, dtype=np.uint64)
+    before = (few[pick[:, None] + (DEEP - 1) - step] << place).sum(axis=1, dtype=np.uint64)
     return pick, key.view(np.int64), after.view(np.int64), before.view(np.int64)
 
 
