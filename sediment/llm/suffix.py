@@ -169,6 +169,30 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return rows.select("id", "row", "pos", "before", "key", "salt").mapInArrow(run, "id long, row long, pos long, id2 long, row2 long, pos2 long")
 
 
+#: Words compared at once while a match goes on.
+STRIDE = 64
+
+
+def _equal_after(words: list[bytes], others: list[bytes], a: int, shift: int) -> int:
+    """How many words from ``a`` on are equal on a diagonal."""
+    most, n = min(len(words) - a, len(others) - a - shift), 0
+    while n + STRIDE <= most and words[a + n : a + n + STRIDE] == others[a + shift + n : a + shift + n + STRIDE]:
+        n += STRIDE
+    while n < most and words[a + n] == others[a + shift + n]:
+        n += 1
+    return n
+
+
+def _equal_before(words: list[bytes], others: list[bytes], a: int, shift: int) -> int:
+    """How many words before ``a`` are equal on a diagonal."""
+    most, n = min(a, a + shift), 0
+    while n + STRIDE <= most and words[a - n - STRIDE : a - n] == others[a + shift - n - STRIDE : a + shift - n]:
+        n += STRIDE
+    while n < most and words[a - n - 1] == others[a + shift - n - 1]:
+        n += 1
+    return n
+
+
 def extended(words: list[bytes], others: list[bytes], a: int, b: int, shift: int, length: int) -> list[tuple[int, int]]:
     """Maximal equal ranges, of ``length`` words or more, on the diagonal ``shift`` that touch [a, b)."""
     out = []
@@ -176,11 +200,7 @@ def extended(words: list[bytes], others: list[bytes], a: int, b: int, shift: int
         if a + shift < 0 or a + shift >= len(others) or words[a] != others[a + shift]:
             a += 1
             continue
-        s, e = a, a
-        while s > 0 and s + shift > 0 and words[s - 1] == others[s - 1 + shift]:
-            s -= 1
-        while e < len(words) and e + shift < len(others) and words[e] == others[e + shift]:
-            e += 1
+        s, e = a - _equal_before(words, others, a, shift), a + _equal_after(words, others, a, shift)
         if e - s >= length:
             out.append((s, e))
         a = e + 1
