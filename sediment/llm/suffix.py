@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import arrow_map, prepare, stored
+from sediment.llm.common import arrow_map, discard, prepare, stored
 
 #: White space becomes a space, A-Z lower case.
 _TABLE = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -226,6 +226,8 @@ def repeated_passages(docs: DataFrame, length: int = 50, window: int = 30, k: in
     order = met.repartition("key", "salt").sortWithinPartitions("key", "salt", "after", "id", "row", "pos")
     near = _neighbours(order)
     found = stored(near.groupBy("id", "row", "id2", "row2").agg(F.collect_set(F.struct("pos", "pos2")).alias("hits")), "neighbours")
+    discard(made)
+    discard(counts)
     texts = rows.select("id", "row", "text")
     mine = found.select("id", "row").distinct()
     kept = stored(texts.join(mine, ["id", "row"], "left_semi").dropDuplicates(["id", "row"]), "texts")
