@@ -1,23 +1,24 @@
-"""Repeated passages by sparse suffix arrays.
-
-Words are lower-cased runs between white space. Of a text's suffixes only those at minimisers are kept:
-the positions whose k-gram has the least hash in some window of ``window`` k-grams. Equal passages of
-``length`` words hold a common minimiser within their first ``window`` words, so both keep a suffix
-there that agrees on at least ``length - window + 1`` words: the key.
-
-Kept suffixes are sorted by key and by the words that follow it, and a second time by key and the words
-before it, backwards (four bits of hash a word, sixteen words deep: enough to order, as every match is
-verified). Each is compared with its neighbours from other texts, before and after, in both orders.
-Neighbours on one diagonal of the same two texts are put together, then both texts are read once and
-the match is extended word by word to the left and to the right. Only matches verified that way, of
-``length`` words or more, are reported.
+"""Repeated passages by equal contexts of minimisers.
+
+Words are lower-cased runs between white space. A window of ``length`` words is anchored at the leftmost
+of the least k-grams among its first ``window`` ones, so equal windows are anchored alike and hold the
+anchor's key: the ``length - window + 1`` words from there on. The windows of one anchor start in a row;
+all their words together are the anchor's context.
+
+Anchors whose key is met twice are sorted by 64-bit hash of the whole context. Those of equal context have
+all windows in common: each is compared with its neighbours from other texts. Of every such group the
+anchors of the least and the greatest text, and all anchors whose context no other text has, go on:
+where a key has several contexts, every window of theirs is hashed and windows of equal hash are compared
+with their neighbours in the same way. So each window that stands in another text is proposed with a
+text that has it. Neighbours on one diagonal of the same two texts are put together, then both texts are
+read once and the match is extended word by word to the left and to the right. Only matches verified
+that way, of ``length`` words or more, are reported.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,8 @@ from sediment.llm.common import arrow_map, discard, prepare, stored
 _TABLE = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
-#: Rows of one key that are sorted together; a key with more is dealt out by document.
+#: Rows of one group that are sorted together; a group with more is dealt out by document.
 CROWD = 4096
-#: Words that a rank looks at.
-DEEP = 16
 
 
 class _Hashes(dict):
@@ -75,8 +74,8 @@ class Prefixes:
         return _mixed((self.total[end] - self.total[start]) * self.back[start])
 
 
-def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
-    """``pick`` (minimum or maximum) over every run of ``width`` values, by runs of doubled width."""
+def sliding(x: np.ndarray, width: int, pick: Callable) -> np.ndarray:
+    """``pick`` (the better of two) over every run of ``width`` values, by runs of doubled width."""
     size = 1
     while 2 * size <= width:
         x = pick(x[:-size], x[size:])
@@ -85,88 +84,140 @@ def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions that are the least of some window (all of them where several tie)."""
-    least = sliding(grams, window, np.minimum)
-    edge = np.zeros(window - 1, grams.dtype)
-    return np.flatnonzero(sliding(np.concatenate((edge, least, edge)), window, np.maximum) == grams)
+def leftmost(grams: np.ndarray, window: int) -> np.ndarray:
+    """For every run of ``window`` values, the place of the first least one."""
+
+    def pick(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(grams[b] < grams[a], b, a)
+
+    return sliding(np.arange(len(grams)), window, pick)
 
 
 def anchors(h: np.ndarray, k: int, window: int, need: int) -> tuple[np.ndarray, ...]:
-    """Minimiser positions with ``need`` words to their right, keys, and ranks of the words after the key and before the position."""
-    n = len(h)
-    none = np.zeros(0, np.int64)
-    if n < need + window - 1:
-        return none, none, none, none
+    """Anchor positions of all windows of ``need + window - 1`` words, keys, context hashes, and first and last window."""
+    n, length = len(h), need + window - 1
+    if n < length:
+        return (np.zeros(0, np.int64),) * 5
     with np.errstate(over="ignore"):
         ranges = Prefixes(h)
-        at = np.arange(n - k + 1)
-        grams = ranges.of(at, at + k)
-        pick = minimisers(grams, window)
-        pick = pick[pick + need <= n]
-        key = ranges.of(pick, pick + need)
-    few = np.concatenate((np.zeros(DEEP, np.uint64), h >> np.uint64(60), np.zeros(DEEP, np.uint64)))
-    step = np.arange(DEEP)
-    place = (60 - 4 * step).astype(np.uint64)
-    after = (few[pick[:, None] + (need + DEEP) + step] << place).sum(axis=1, dtype=np.uint64)
-    before = (few[pick[:, None] + (DEEP - 1) - step] << place).sum(axis=1, dtype=np.uint64)
-    return pick, key.view(np.int64), after.view(np.int64), before.view(np.int64)
+        at = np.arange(n - need + 1)
+        owner = leftmost(ranges.of(at, at + k), window)
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        last = np.append(first[1:], len(owner)) - 1
+        pick = owner[first]
+        key, context = ranges.of(pick, pick + need), ranges.of(first, last + length)
+    return pick, key.view(np.int64), context.view(np.int64), first, last
+
+
+def windows(h: np.ndarray, at: np.ndarray, k: int, window: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of the anchors ``at``, and the anchor of each."""
+    pick, _, _, first, last = anchors(h, k, window, need)
+    mine = np.isin(pick, at)
+    pick, first, size = pick[mine], first[mine], (last - first + 1)[mine]
+    start = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+    with np.errstate(over="ignore"):
+        value = Prefixes(h).of(start, start + need + window - 1)
+    return value.view(np.int64), np.repeat(pick, size)
+
+
+def _hashed(known: _Hashes, text: bytes | None) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _columns(names: str, rows: list[tuple]) -> dict:
+    """Columns of int64 from rows of arrays."""
+    return {name: np.concatenate(c) if c else np.zeros(0, np.int64) for name, c in zip(names.split(), list(zip(*rows, strict=True)) or [()] * len(names.split()), strict=True)}
 
 
 def _suffixes(docs: DataFrame, k: int, window: int, need: int) -> DataFrame:
     def run(cols: dict, n: int) -> dict:
-        known, out = _Hashes(), ([], [], [], [], [], [])
+        known, out = _Hashes(), []
         for i, row, text in zip(cols["id"], cols["row"], cols["text"], strict=True):
-            words = words_of(text)
-            pick, *ranks = anchors(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), k, window, need)
-            for c, v in zip(out, (np.full(len(pick), i), np.full(len(pick), row), pick, *ranks), strict=True):
-                c.append(v)
-        return {name: np.concatenate(c).astype(np.int64) if c else [] for name, c in zip(("id", "row", "pos", "key", "after", "before"), out, strict=True)}
+            pick, key, context, _, _ = anchors(_hashed(known, text), k, window, need)
+            out.append((np.full(len(pick), i), np.full(len(pick), row), pick, key, context))
+        return _columns("id row pos key g", out)
+
+    return arrow_map(docs.select("id", "row", "text"), run, "id long,row long,pos long,key long,g long", binary=("text",))
+
+
+def _windows(texts: DataFrame, k: int, window: int, need: int) -> DataFrame:
+    """Rows (id, row, pos, key, g): each window of the anchors in the array ``at``, g its hash."""
+
+    def run(cols: dict, n: int) -> dict:
+        known, out = _Hashes(), []
+        for i, row, text, at in zip(cols["id"], cols["row"], cols["text"], cols["at"], strict=True):
+            g, pos = windows(_hashed(known, text), np.array(at, np.int64), k, window, need)
+            out.append((np.full(len(g), i), np.full(len(g), row), pos, g, g))
+        return _columns("id row pos key g", out)
+
+    return arrow_map(texts.select("id", "row", "text", "at"), run, "id long,row long,pos long,key long,g long", binary=("text",))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with a salt, sorted by (g, salt, id, row, pos)."""
+    counts = stored(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {2 * CROWD}"), "crowds")
+    salt = F.pmod(F.xxhash64("id", "row"), F.greatest(F.lit(1).cast("long"), F.coalesce((F.col("n") / CROWD).cast("long"), F.lit(1))))
+    met = rows.join(counts, "g", "left").withColumn("salt", salt).drop("n")
+    return met.repartition("g", "salt").sortWithinPartitions("g", "salt", "id", "row", "pos")
 
-    return arrow_map(docs.select("id", "row", "text"), run, "id long,row long,pos long,key long,after long,before long", binary=("text",))
+
+_NEAR = ["id", "row", "pos", "id2", "row2", "pos2", "key", "g"]
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """Each suffix with its nearest neighbours from other texts, before and after, in both orders."""
+    """Rows of equal g with their nearest neighbours from other texts, before and after.
+
+    With null in id2, row2 and pos2, the rows whose windows are still to be looked at: the first and the
+    last of a group with several texts, every one of a group with a single text.
+    """
 
-    def pairs(block: np.ndarray, out: list[np.ndarray]) -> None:
-        """block: columns id, row, pos of one key in one order."""
+    def pairs(block: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+        """block: columns g, salt, id, row, pos, sorted. Own rows, rows of mates, rows that go on."""
         n = len(block)
-        new = np.concatenate(([True], (block[1:, 0] != block[:-1, 0]) | (block[1:, 1] != block[:-1, 1])))
-        first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        starts = np.flatnonzero(new)
-        after = np.append(starts, n)[np.searchsorted(starts, np.arange(n), side="right")]
-        for mine, mate in ((np.flatnonzero(first > 0), first[first > 0] - 1), (np.flatnonzero(after < n), after[after < n])):
-            out.append(np.hstack((block[mine], block[mate])))
+        edge = lambda c: np.concatenate(([True], np.any(block[1:, c] != block[:-1, c], axis=1)))
+        group, text = edge([0, 1]), edge([0, 1, 2, 3])
+        start = np.flatnonzero(text)
+        end = np.append(start[1:], n)
+        run = np.cumsum(text) - 1
+        within = np.arange(n) - start[run]
+        opens = group[start]
+        closes = np.append(opens[1:], True)
+        own, mate = [], []
+        for has, step in ((~opens, -1), (~closes, 1)):
+            mine = np.flatnonzero(has[run])
+            other = run[mine] + step
+            own.append(mine)
+            mate.append(start[other] + np.minimum(within[mine], end[other] - start[other] - 1))
+        alone = (opens & closes)[run]
+        go = alone | (opens & ~closes)[run] & text | (closes & ~opens)[run] & np.append(text[1:], True)
+        return np.concatenate(own), np.concatenate(mate), np.flatnonzero(go)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 6), np.int64)
-        names = ["id", "row", "pos", "id2", "row2", "pos2"]
 
         def done(rows: np.ndarray) -> pa.RecordBatch:
-            out: list[np.ndarray] = [np.zeros((0, 6), np.int64)]
-            cut = np.flatnonzero(np.any(rows[1:, 4:] != rows[:-1, 4:], axis=1)) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(rows)], strict=True):
-                if b - a > 1:
-                    block = rows[a:b]
-                    pairs(block[:, :3], out)
-                    if b - a > 2:
-                        pairs(block[np.lexsort((block[:, 2], block[:, 1], block[:, 0], block[:, 3]))][:, :3], out)
-            table = np.concatenate(out)
-            return pa.RecordBatch.from_arrays([pa.array(table[:, i]) for i in range(6)], names=names)
+            own, mate, go = pairs(rows[:, :5], rows[:, 5])
+            ids = np.concatenate((rows[own, 2:5], rows[go, 2:5]))
+            far = np.concatenate((rows[mate, 2:5], np.zeros((len(go), 3), np.int64)))
+            more = np.concatenate((rows[own][:, [5, 0]], rows[go][:, [5, 0]]))
+            none = np.concatenate((np.zeros(len(own), bool), np.ones(len(go), bool)))
+            cols = [pa.array(ids[:, i]) for i in range(3)] + [pa.array(far[:, i], mask=none) for i in range(3)] + [pa.array(more[:, i]) for i in range(2)]
+            return pa.RecordBatch.from_arrays(cols, names=_NEAR)
 
         for batch in batches:
             rows = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns], axis=1)))
             if not len(rows):
                 continue
-            cut = np.flatnonzero(np.any(rows[:, 4:] != rows[-1, 4:], axis=1))
+            cut = np.flatnonzero(np.any(rows[:, :2] != rows[-1, :2], axis=1))
             last = int(cut[-1]) + 1 if len(cut) else 0
             held = rows[last:]
             if last:
                 yield done(rows[:last])
-        yield done(held)
+        if len(held):
+            yield done(held)
 
-    return rows.select("id", "row", "pos", "before", "key", "salt").mapInArrow(run, "id long, row long, pos long, id2 long, row2 long, pos2 long")
+    return rows.select("g", "salt", "id", "row", "pos", "key").mapInArrow(run, ", ".join(f"{c} long" for c in _NEAR))
 
 
 #: Words compared at once while a match goes on.
@@ -221,13 +272,20 @@ def repeated_passages(docs: DataFrame, length: int = 50, window: int = 30, k: in
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(big)).alias("id"), F.xxhash64("text").alias("row"), "text")
     made = stored(_suffixes(rows, k, window, need), "suffixes")
     counts = stored(made.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
-    salt = F.pmod(F.xxhash64("id", "row"), F.greatest(F.lit(1).cast("long"), (F.col("n") / CROWD).cast("long")))
-    met = made.join(counts, "key").withColumn("salt", salt)
-    order = met.repartition("key", "salt").sortWithinPartitions("key", "salt", "after", "id", "row", "pos")
-    near = _neighbours(order)
-    found = stored(near.groupBy("id", "row", "id2", "row2").agg(F.collect_set(F.struct("pos", "pos2")).alias("hits")), "neighbours")
+    met = stored(made.join(counts.select("key"), "key").select("id", "row", "pos", "key", "g"), "met")
     discard(made)
     discard(counts)
+    whole = stored(_neighbours(_dealt(met)), "contexts")
+    discard(met)
+    go = whole.where("id2 IS NULL").select("id", "row", "pos", "key", "g")
+    mixed = go.groupBy("key").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("key")
+    places = stored(go.join(mixed, "key").groupBy("id", "row").agg(F.collect_set("pos").alias("at")), "places")
+    parts = stored(_windows(rows.join(places, ["id", "row"]), k, window, need), "windows")
+    discard(places)
+    near = whole.where("id2 IS NOT NULL").unionByName(_neighbours(_dealt(parts)).where("id2 IS NOT NULL"))
+    found = stored(near.groupBy("id", "row", "id2", "row2").agg(F.collect_set(F.struct("pos", "pos2")).alias("hits")), "neighbours")
+    discard(whole)
+    discard(parts)
     texts = rows.select("id", "row", "text")
     mine = found.select("id", "row").distinct()
     kept = stored(texts.join(mine, ["id", "row"], "left_semi").dropDuplicates(["id", "row"]), "texts")

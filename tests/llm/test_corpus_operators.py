@@ -227,6 +227,26 @@ def test_passages(spark):
     assert suffix.repeated_passages(frame(spark, [])).count() == 0
 
 
+def covered(df):
+    got = defaultdict(set)
+    for r in df.collect():
+        got[r["doc_id"]].update(range(r["start"], r["end"]))
+    return got
+
+
+def forms(n, values):
+    """Texts that share long parts and differ in two fields: only equal pairs of fields make 50 words."""
+    rng = random.Random(n)
+    a, b, c = prose(501, 20), prose(502, 22), prose(503, 20)
+    return [(i, f"{prose(10_000 + i, 5)} {a} f{rng.randrange(values)} {b} g{rng.randrange(values)} {c} {prose(20_000 + i, 5)}") for i in range(n)]
+
+
+def test_passages_among_texts_that_differ_in_few_words(spark):
+    rows = forms(300, 15) + [(1000 + i, f"{prose(504, 45)} {prose(600 + i // 2, 8)} {prose(30_000 + i, 20)}") for i in range(60)]
+    want = brute_passages(rows, 50)
+    assert len(want) > 150 and covered(suffix.repeated_passages(frame(spark, rows))) == want
+
+
 # Classifier
 
 
