@@ -155,10 +155,19 @@ def _windows(texts: DataFrame, k: int, window: int, need: int) -> DataFrame:
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` with a salt, sorted by (g, salt, id, row, pos)."""
-    counts = stored(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {2 * CROWD}"), "crowds")
-    salt = F.pmod(F.xxhash64("id", "row"), F.greatest(F.lit(1).cast("long"), F.coalesce((F.col("n") / CROWD).cast("long"), F.lit(1))))
-    met = rows.join(counts, "g", "left").withColumn("salt", salt).drop("n")
+    """``rows`` with a salt, sorted by (g, salt, id, row, pos).
+
+    A crowd is dealt out by document. Every salt of it also gets the crowd's rows of least and greatest
+    hash of the document, so a text that is alone in its salt still meets another one, if there is any.
+    """
+    low = (1 << 24) - 1
+    place = F.xxhash64("id", "row").bitwiseAND(F.lit(~low)).bitwiseOR(F.col("pos").bitwiseAND(F.lit(low)))
+    rows = rows.withColumn("place", place)
+    crowds = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("a"), F.max("place").alias("b")).where(f"n >= {2 * CROWD}")
+    crowds = stored(crowds.select("g", "a", "b", (F.col("n") / CROWD).cast("long").alias("salts")), "crowds")
+    every = F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)
+    own = F.array(F.pmod(F.xxhash64("id", "row"), F.coalesce("salts", F.lit(1).cast("long"))))
+    met = rows.join(crowds, "g", "left").withColumn("salt", F.explode(F.when(F.col("place").isin(F.col("a"), F.col("b")), every).otherwise(own)))
     return met.repartition("g", "salt").sortWithinPartitions("g", "salt", "id", "row", "pos")
 
 

@@ -247,6 +247,16 @@ def test_passages_among_texts_that_differ_in_few_words(spark):
     assert len(want) > 150 and covered(suffix.repeated_passages(frame(spark, rows))) == want
 
 
+@pytest.mark.parametrize("crowd", [1, 7])
+def test_passages_of_crowded_keys(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix, "CROWD", crowd)
+    header, whole = prose(505, 45), prose(506, 70)
+    rows = [(i, f"{prose(40_000 + i, 6)} {header} {prose(700 + i // 2, 8)} {prose(50_000 + i, 6)}") for i in range(60)]
+    rows += [(2000 + i, f"{prose(60_000 + i, 9)} {whole} {prose(70_000 + i, 9)}") for i in range(20)] + [(3000, "same " * 300), (3001, "same " * 120 + "end " * 60)]
+    want = brute_passages(rows, 50)
+    assert len(want) == 82 and covered(suffix.repeated_passages(frame(spark, rows))) == want
+
+
 # Classifier
 
 
