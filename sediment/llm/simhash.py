@@ -29,13 +29,13 @@ _TABLE = bytes(32 if b == 32 or 9 <= b <= 13 else ord(LOWER[UPPER.index(chr(b))]
 _CHUNK = 65_536
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """64-bit SimHash, as a signed integer, over word shingles with repeats, by XXH64 of seed 42."""
+def hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of seed 42 of every word shingle of a text, repeats included; of all words where they are fewer."""
     import xxhash
 
     words = text.translate(_TABLE).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
@@ -44,7 +44,15 @@ def fingerprint(text: bytes, shingle: int) -> int:
     n = max(1, len(words) - shingle + 1)
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts[:n], last, strict=True)), np.uint64, n)
+    return np.fromiter((digest(flat[a:b], 42) for a, b in zip(starts[:n], last, strict=True)), np.uint64, n)
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """64-bit SimHash, as a signed integer, over word shingles with repeats, by XXH64 of seed 42."""
+    h = hashes(text, shingle)
+    n = len(h)
+    if not n:
+        return 0
     total = np.zeros(64, np.int64)
     for i in range(0, n, _CHUNK):
         bits = np.unpackbits(h[i : i + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -138,9 +146,14 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = 2, group
     Null ids come after others. Of rows with equal id the one of least hash stays; of rows equal in
     every column one stays. Only ids and hashes are shuffled; whole rows move where rows are repeated.
     """
+    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), "__row": F.xxhash64(*docs.columns)})
+    return one_of_each(docs, own, near_duplicates(own, shingle, radius, groups, crowd, carry=("__id", "__row")))
+
+
+def one_of_each(docs: DataFrame, own: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each component in ``found`` (__id, __row, component_id); ``own`` is ``docs`` with __id and __row."""
     names = docs.columns
-    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), "__row": F.xxhash64(*names)})
-    found = stored(near_duplicates(own, shingle, radius, groups, crowd, carry=("__id", "__row")), "near")
+    found = stored(found, "near")
     first = F.struct("__id", "__row")
     keep = found.groupBy("component_id").agg(F.min(first).alias("first"))
     each = found.groupBy("component_id", "__id", "__row").agg(F.count(F.lit(1)).alias("n"))

@@ -335,6 +335,27 @@ def test_pipeline_stages(spark):
         docs = out
 
 
+@pytest.mark.parametrize("frequent", [262_144, 0])
+def test_near_dedup_finds_all_pairs_of_similarity(spark, monkeypatch, frequent):
+    from sediment.llm import shingles
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(shingles, "FREQUENT", frequent)
+    rng, rows, line = random.Random(9), [], prose(800, 12)
+    for i in range(40):
+        base = f"{prose(801 + i, rng.choice([9, 30, 120]))} {line}".split()
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice("pqrs")
+            rows.append((len(rows), " ".join(w[: len(w) - rng.randint(0, 3)])))
+    sets = {d: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)} for d, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    top = closure(sets, near)
+    assert sum(sets[a] != sets[b] for a, b in near) > 30
+    assert {r["doc_id"] for r in pipeline.simhash_dedup(spark, frame(spark, rows), SF).collect()} == {d for d in sets if top[d] == d}
+
+
 def test_pipeline_edges(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
