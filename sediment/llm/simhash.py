@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import LOWER, UPPER, arrow_map, components, stored
+from sediment.llm.common import LOWER, UPPER, arrow_map, components, discard, stored
 
 #: White space becomes a space, A-Z lower case.
 _TABLE = bytes(32 if b == 32 or 9 <= b <= 13 else ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b for b in range(256))
@@ -159,6 +159,7 @@ def one_of_each(docs: DataFrame, own: DataFrame, found: DataFrame) -> DataFrame:
     each = found.groupBy("component_id", "__id", "__row").agg(F.count(F.lit(1)).alias("n"))
     marked = each.join(keep, each["component_id"].eqNullSafe(keep["component_id"])).select("__id", "__row", "n", (F.col("first") == first).alias("stays"))
     marked = stored(marked.groupBy("__id", "__row").agg(F.sum("n").alias("n"), F.max("stays").alias("stays")).where("n > 1 OR NOT stays"), "marked")
+    discard(found)
     once = own.join(marked.select("__id", "__row"), ["__id", "__row"], "left_anti")
     again = own.join(marked.where("stays").select("__id", "__row"), ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"])
     return once.unionByName(again).select(*names)
