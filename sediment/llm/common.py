@@ -12,7 +12,7 @@ from sediment.session import ship
 from sediment.storage import remove, stored
 
 #: Bytes of input that one Arrow batch may carry to a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 #: Upper-case ASCII letters and their lower-case forms; other letters keep their case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from sediment.llm.common import LOWER, UPPER, arrow_map, components, discard, stored
 
 #: White space becomes a space, A-Z lower case.
-_TABLE = bytes(32 if b == 32 or 9 <= b <= 13 else ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b for b in range(256))
+WORDS = bytes(32 if b == 32 or 9 <= b <= 13 else ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b for b in range(256))
+#: Rows up to this number are broadcast (two or three longs each), more are shuffled.
+MOST_SENT = 1_000_000
 #: Hashes whose bits are added up at once.
 _CHUNK = 65_536
 
@@ -33,7 +35,7 @@ def hashes(text: bytes, shingle: int) -> np.ndarray:
     """XXH64 of seed 42 of every word shingle of a text, repeats included; of all words where they are fewer."""
     import xxhash
 
-    words = text.translate(_TABLE).split()
+    words = text.translate(WORDS).split()
     if not words:
         return np.zeros(0, np.uint64)
     flat = b" ".join(words)
@@ -144,12 +146,18 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = 2, group
     """One row of ``docs`` for each component, that of the least id, all columns as they were.
 
     Null ids come after others. Of rows with equal id the one of least hash stays; of rows equal in
-    every column one stays. Only ids and hashes are shuffled; whole rows move where rows are repeated.
+    every column one stays. Only ids and hashes are shuffled; whole rows move where rows are repeated
+    or where more than ``MOST_SENT`` rows go.
     """
     own = docs.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), "__row": F.xxhash64(*docs.columns)})
     return one_of_each(docs, own, near_duplicates(own, shingle, radius, groups, crowd, carry=("__id", "__row")))
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """``rows``, a written table of longs, to be broadcast if it is of bounded size; else it is joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
+
+
 def one_of_each(docs: DataFrame, own: DataFrame, found: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component in ``found`` (__id, __row, component_id); ``own`` is ``docs`` with __id and __row."""
     names = docs.columns
@@ -160,6 +168,7 @@ def one_of_each(docs: DataFrame, own: DataFrame, found: DataFrame) -> DataFrame:
     marked = each.join(keep, each["component_id"].eqNullSafe(keep["component_id"])).select("__id", "__row", "n", (F.col("first") == first).alias("stays"))
     marked = stored(marked.groupBy("__id", "__row").agg(F.sum("n").alias("n"), F.max("stays").alias("stays")).where("n > 1 OR NOT stays"), "marked")
     discard(found)
-    once = own.join(marked.select("__id", "__row"), ["__id", "__row"], "left_anti")
-    again = own.join(marked.where("stays").select("__id", "__row"), ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"])
+    known = few(marked)
+    once = own.join(known.select("__id", "__row"), ["__id", "__row"], "left_anti")
+    again = own.join(known.where("stays").select("__id", "__row"), ["__id", "__row"], "left_semi").dropDuplicates(["__id", "__row"])
     return once.unionByName(again).select(*names)
