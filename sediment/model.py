@@ -104,6 +104,9 @@ class EncodingError(EventLogError): ...
 class DimensionMismatch(EventLogError): ...
 
 
+class NoSharedFolder(EventLogError): ...
+
+
 _SEGMENT = re.compile(r"[\w-]+\Z")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +23,11 @@ def distance(vector: Column, query: Sequence[float], metric: str) -> Column:
     """Distance of a vector column to a query; smaller is nearer.
 
     cosine: 1 - a.b / (|a| |b|), 1 where a norm is zero; euclidean: |a - b|; inner_product: 1 - a.b.
+    A vector of another length is an error.
     """
     kind = METRICS[metric]
+    wrong = F.raise_error(F.concat(F.lit("DimensionMismatch: "), F.size(vector).cast("string"), F.lit(f" dimensions; the query has {len(query)}")))
+    vector = F.when(F.size(vector) == len(query), vector).otherwise(wrong)
     q = F.array(*[F.lit(float(x)) for x in query])
     pairs = F.zip_with(vector, q, (lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)) if kind == "euclidean" else (lambda a, b: a.cast("double") * b))
     total = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
@@ -79,9 +83,9 @@ def knn_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
             best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             for batch in batches:
                 keys = batch.column(0).to_numpy()
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if len(keys) and len(flat) != len(keys) * q.shape[1]:
+                if not pc.all(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1])).as_py():
                     raise DimensionMismatch(f"the queries have {q.shape[1]} dimensions")
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 x = flat.reshape(len(keys), q.shape[1])
                 for i in range(0, len(keys), CHUNK):
                     d = _block_distances(q, x[i : i + CHUNK], kind)
@@ -121,10 +125,13 @@ class KnnIndex:
         self.dims, self.metric = dims, metric
 
     def query(self, vector: Sequence[float], k: int, stream_pattern: str | None = None) -> DataFrame:
-        """The ``k`` nearest rows (key, score), nearest first, ties by key: one scan and a top-k, no full sort."""
+        """The ``k`` nearest rows (key, score), nearest first, ties by key: one scan and a top-k, no full sort.
+
+        Rows without an embedding have no distance and are left out; one of another length is an error.
+        """
         if len(vector) != self.dims:
             raise DimensionMismatch(f"{len(vector)} dimensions; the index has {self.dims}")
-        rows = self.rows
+        rows = self.rows.where(F.col("embedding").isNotNull())
         if stream_pattern is not None:
             rows = rows.where(F.col("stream_id").isNotNull() & matching(F.col("stream_id"), stream_pattern))
         return rows.select("key", distance(F.col("embedding"), vector, self.metric).alias("score")).orderBy("score", "key").limit(max(0, k))

@@ -130,7 +130,7 @@ def walk_causation_bounded(events: DataFrame, start, direction: str = FORWARD, m
             over = (max_results is not None and rows + n > max_results, max_bytes is not None and size + (b or 0) > max_bytes)
             if depth > first and any(over):
                 reason = "count" if over[0] else "bytes"
-                kept = stored(seen, "seen")
+                kept = stored(seen, "seen", keep=True)
                 token = encode_cursor("causation", direction=direction, depth=depth, seen=kept.inputFiles()[0].rpartition("/")[0])
                 break
             rows, size = rows + n, size + (b or 0)

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
@@ -31,7 +33,7 @@ from sediment.operators.similarity import KnnIndex
 from sediment.plans import aggregate, graph, reads
 from sediment.plans.budget import resolve
 from sediment.session import ship
-from sediment.storage import exists, remove, stored
+from sediment.storage import exists, few, move, recover, remove, replace_folder, stored
 
 #: What ``purge_event`` must be told. Fixed value.
 CONFIRM_PURGE = "I understand this breaks replay-from-zero"
@@ -68,6 +70,7 @@ class EventLog:
         self.upcasters, self.transforms, self.reducers = Upcasters(), Transforms(), fold.Reducers()
         self.index: KnnIndex | None = None
         ship(spark)
+        recover(spark, f"{self.path}/snapshots")
         if not exists(spark, f"{self.path}/events"):
             if not options.create:
                 raise StoreNotFound(path)
@@ -163,8 +166,9 @@ class EventLog:
         """Write a DataFrame of events (columns of the log but id and version, and ``ordinal``); rows (ordinal, id, is_new).
 
         Transforms come before ids. Of equal ids the lowest ordinal stays; ids already in the log are
-        left out by an anti join; versions go on from each (stream, branch)'s last. The first pass is
-        written to the shared folder, as ids cost Python time.
+        left out; versions go on from each (stream, branch)'s last. The first pass is written to the shared
+        folder, as ids cost Python time. The log is only scanned, for ids and keys that the batch names;
+        a batch of more than ``storage.MOST_SENT`` rows meets it by a shuffle.
         """
         rows = self.transforms.apply(incoming)
         bad = F.col("indexed_tags").isNotNull() & ~F.coalesce(F.schema_of_variant(F.try_parse_json("indexed_tags")).startswith("OBJECT"), F.lit(False))
@@ -174,8 +178,10 @@ class EventLog:
         if lost is not None:
             raise StreamNotDeclared(lost["stream_id"])
         first = rows.groupBy("id").agg(F.min("ordinal").alias("ordinal"))
-        fresh = rows.join(first, ["id", "ordinal"], "left_semi").join(self.raw.select("id"), "id", "left_anti")
-        last = self.raw.join(rows.select("stream_id", "branch").distinct(), ["stream_id", "branch"], "left_semi").groupBy("stream_id", "branch").agg(F.max("version").alias("last"))
+        known = stored(self.raw.select("id").join(few(rows.select("id")), "id", "left_semi"), "known")
+        fresh = rows.join(first, ["id", "ordinal"], "left_semi").join(known, "id", "left_anti")
+        keys = stored(rows.select("stream_id", "branch").distinct(), "keys")
+        last = self.raw.select("stream_id", "branch", "version").join(few(keys), ["stream_id", "branch"], "left_semi").groupBy("stream_id", "branch").agg(F.max("version").alias("last"))
         place = F.row_number().over(W.partitionBy("stream_id", "branch").orderBy("ordinal"))
         new = fresh.join(last, ["stream_id", "branch"], "left").withColumn("version", F.coalesce("last", F.lit(-1)) + place)
         new = stored(new.select("ordinal", *[F.col(f.name).cast(f.dataType) for f in EVENT_SCHEMA]), "fresh")
@@ -183,7 +189,11 @@ class EventLog:
         return rows.select("ordinal", "id").join(new.select("ordinal", F.lit(True).alias("is_new")), "ordinal", "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
 
     def purge_event(self, event_id: bytes, confirm: str, reason: str, purged_by: str) -> None:
-        """Remove one event for good and record that. Only its own partition is written anew; snapshots stay."""
+        """Remove one event for good and record that; snapshots stay.
+
+        Only the file that holds the event is written anew, aside; it is put in place before the old one
+        goes, so a crash loses nothing (at worst the file's events stand twice until the purge is repeated).
+        """
         if confirm != CONFIRM_PURGE:
             raise PurgeConfirmationError(confirm)
         row = self.raw.where(F.col("id") == F.lit(event_id)).first()
@@ -191,12 +201,16 @@ class EventLog:
             raise EventNotFound(event_id.hex())
         facts = {"event_id": event_id.hex(), "stream_id": row["stream_id"], "branch": row["branch"], "version": row["version"], "event_type": row["event_type"], "reason": reason, "purged_by": purged_by}
         self.emit("Purged", facts)
-        root = row["stream_id"].split("/")[0]
-        here = (F.col("branch") == row["branch"]) & (F.col("root") == root)
-        whole = self.spark.read.parquet(f"{self.path}/events").where(here)
-        folder = whole.where(F.col("id") == F.lit(event_id)).select(F.input_file_name()).first()[0].rpartition("/")[0]
-        kept = stored(whole.where(F.col("id") != F.lit(event_id)).drop("branch", "root"), "purge")
-        kept.sortWithinPartitions("stream_id", "version").write.mode("overwrite").parquet(folder)
+        here = (F.col("branch") == row["branch"]) & (F.col("root") == row["stream_id"].split("/")[0])
+        files = self.spark.read.parquet(f"{self.path}/events").where(here & (F.col("id") == F.lit(event_id))).select(F.input_file_name().alias("f")).distinct().collect()
+        for file in (unquote(r["f"]) for r in files):
+            aside = f"{self.path}/_purge-{uuid.uuid4().hex}"
+            kept = self.spark.read.parquet(file).where(F.col("id") != F.lit(event_id))
+            kept.coalesce(1).sortWithinPartitions("stream_id", "version").write.parquet(aside)
+            for part in self.spark.read.schema(kept.schema).parquet(aside).inputFiles():
+                move(self.spark, part, f"{file.rpartition('/')[0]}/part-{uuid.uuid4().hex}.parquet")
+            remove(self.spark, file)
+            remove(self.spark, aside)
 
     def shred_stream(self, stream_id: str, reason: str) -> None:
         raise NotImplementedError("streams are not encrypted")
@@ -391,11 +405,13 @@ class EventLog:
 
     def gc_orphaned_snapshots(self) -> int:
         """Drop snapshots of reducers that are not registered (all of them where none is); how many."""
-        whole = stored(self._table("snapshots"), "snapshots")
-        kept = stored(fold.live_snapshots(whole, self.reducers), "snapshots")
+        whole = self._table("snapshots")
+        kept = fold.live_snapshots(whole, self.reducers)
         gone = whole.count() - kept.count()
         if gone:
-            kept.write.mode("overwrite").parquet(f"{self.path}/snapshots")
+            aside = f"{self.path}/_snapshots-{uuid.uuid4().hex}"
+            kept.write.parquet(aside)
+            replace_folder(self.spark, aside, f"{self.path}/snapshots")
         return gone
 
     def get_snapshot_state(self, stream_id: str, branch: str, reducer_name: str, state_schema_version: int) -> tuple[int, str] | None:

@@ -307,14 +307,19 @@ def test_batch_search_equals_brute_force(spark, monkeypatch):
 def test_subscription_is_live_only_and_resumes(log, tmp_path):
     log.append_batch([ev(0), ev(1)])
     got = []
-    rows = streaming.subscribe(log, "s/*")
     handler = lambda batch, _: got.extend(ns(batch.orderBy("version")))
-    streaming.drain(rows, handler, f"{tmp_path}/c")
+    again = lambda: streaming.Subscription(log, "s/*", f"file://{tmp_path}/sub").drain(handler)
+    again()
     assert got == []
     log.append_batch([ev(2), ev(0), ev(9, "s/b")])
     log.emit("Note", {})
-    streaming.drain(rows, handler, f"{tmp_path}/c")
+    again()
     assert sorted(got) == [2, 9]
+    log.append(ev(3))
+    again()
+    log.append(ev(4))
+    again()
+    assert sorted(got) == [2, 3, 4, 9]
 
 
 def test_relay(spark, tmp_path, log):
@@ -339,3 +344,43 @@ def test_stateful_fold_goes_on_over_batches(log, tmp_path):
         query.option("checkpointLocation", f"{tmp_path}/cs").trigger(availableNow=True).start().awaitTermination()
     state = streaming.latest_of(log.spark, out).collect()
     assert len(state) == 1 and json.loads(state[0]["state"]) == {"count": 3, "items": [0, 1, 2]}
+
+
+def test_stateful_fold_waits_for_versions_that_come_late(spark, tmp_path):
+    rows = [("s/a", "main", v, json.dumps({"n": v})) for v in range(5)]
+    schema = "stream_id string, branch string, version long, payload string"
+    out = f"file://{tmp_path}/states"
+    for part in ([2, 4], [1, 4, 0], [3, 0]):
+        spark.createDataFrame([rows[v] for v in part], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        query = streaming.stateful_fold(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), Total()).writeStream.outputMode("update")
+        query.foreachBatch(streaming.keep_batches(out)).option("checkpointLocation", f"{tmp_path}/cs").trigger(availableNow=True).start().awaitTermination()
+    assert json.loads(streaming.latest_of(spark, out).first()["state"]) == {"count": 5, "items": [0, 1, 2, 3, 4]}
+
+
+def test_shared_folder_is_asked_for_off_local_masters():
+    from types import SimpleNamespace as Some
+
+    from sediment.model import NoSharedFolder
+    from sediment.storage import shared_dir
+
+    def session(master, folder):
+        conf = Some(get=lambda key, default=None: folder)
+        return Some(conf=conf, sparkContext=Some(master=master, applicationId="x", getConf=lambda: Some(get=lambda key, default=None: None)))
+
+    assert shared_dir(session("local[4]", None)).endswith("sediment-x") and shared_dir(session("yarn", "hdfs:///c/")) == "hdfs:///c"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(NoSharedFolder):
+            shared_dir(session(master, None))
+
+
+def test_nearest_neighbours_of_dirty_vectors(spark):
+    from sediment.operators.similarity import knn_batch
+
+    schema = "key long, stream_id string, embedding array<double>"
+    rows = spark.createDataFrame([(1, "e/a", [1.0, 0.0]), (2, "e/a", None), (3, "e/a", [0.0, 1.0])], schema)
+    assert [r["key"] for r in KnnIndex(rows, 2).query([1, 0], 2).collect()] == [1, 3]
+    bad = rows.union(spark.createDataFrame([(4, "e/a", [1.0]), (5, "e/a", [1.0, 0.0, 0.0])], schema)).coalesce(1)
+    with pytest.raises(Exception, match="DimensionMismatch"):
+        KnnIndex(bad, 2).query([1, 0], 2).collect()
+    with pytest.raises(Exception, match="DimensionMismatch"):
+        knn_batch(bad, rows.select(F.col("key").alias("query"), "embedding"), 2).collect()
