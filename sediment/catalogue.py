@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sediment.functions import glob, identity
 from sediment.operators import branches, evolve, fold
-from sediment.operators.similarity import KnnIndex, knn_batch
+from sediment.operators.similarity import CellIndex, KnnIndex, knn_batch
 from sediment.plans import aggregate, graph, reads
 from sediment.plans.aggregate import AggregateQuery
 from sediment.session import ship
@@ -487,28 +487,13 @@ def transform_redact(spark, d):
     return rules.apply(event_log(spark, d)).select("id", "payload")
 
 
-@query("""WITH f AS (SELECT event_type, type_version, k, min(id) AS id FROM log GROUP BY event_type, type_version, k)
-SELECT log.id, stream_id, branch, row_number() OVER (PARTITION BY stream_id, branch ORDER BY log.id) - 1 AS version FROM log JOIN f ON log.id = f.id""")
-def append_dedup(spark, d):
-    """A batch append into an empty log: events of equal content are one, versions go by input order."""
-    log = event_log(spark, d)
-    first = log.groupBy("event_type", "type_version", "k").agg(F.min("id").alias("id"))
-    new = log.join(first.select("id"), "id", "left_semi")
-    return new.select("id", "stream_id", "branch", (F.row_number().over(W.partitionBy("stream_id", "branch").orderBy("id")).cast("long") - 1).alias("version"))
-
 
 @query("""WITH f AS (SELECT event_type, type_version, k, min(id) AS id FROM log GROUP BY event_type, type_version, k)
 SELECT external_id, stream_id, branch, row_number() OVER (PARTITION BY stream_id, branch ORDER BY log.id) - 1 AS version FROM log JOIN f ON log.id = f.id""")
 def log_append(spark, d):
     """All events appended to a real log, twice: content ids make them one, and the second time adds nothing."""
-    import uuid
-
-    from sediment.sources.log import EventLog
-    from sediment.storage import shared_dir
-
     rows = event_log(spark, d)
-    log = EventLog(spark, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}")
-    log.declare_frame(rows, "catalogue")
+    log = _new_log(spark, rows)
     none = F.lit(None).cast("binary")
     incoming = rows.select(F.col("id").alias("ordinal"), "stream_id", "branch", "timestamp_us", none.alias("causation_id"), none.alias("correlation_id"), "event_type", "type_version", "payload", "external_id", "indexed_tags")
     for _ in range(2):
@@ -535,13 +520,6 @@ def relay_rename(spark, d):
     return log.select("id", glob.hub_name(F.col("stream_id"), "app/click").alias("hub_stream"), "external_id")
 
 
-@query("SELECT tree.id, CASE WHEN causation_id % 2 = 1 THEN causation_id + 1000000000 END AS hub_cause FROM tree WHERE tree.id % 2 = 0")
-def relay_causation(spark, d):
-    """Even events go to a hub that holds the odd ones under new ids; causes are translated where known."""
-    log = event_log(spark, d, causes=True)
-    hub = log.where("id % 2 = 1").select(F.col("id").alias("causation_id"), (F.col("id") + 1_000_000_000).alias("hub_cause"))
-    return log.where("id % 2 = 0").select("id", "causation_id").join(hub, "causation_id", "left").select("id", "hub_cause")
-
 
 def _knn(metric: str, pattern: str | None = None) -> Query:
     def run(spark, d):
@@ -587,19 +565,15 @@ SELECT query, key, round(score, 6) + 0 AS score FROM s QUALIFY row_number() OVER
     )(_fn)
 
 
-def _drained(spark: SparkSession, d: str, transform: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Run a stream over the events file to its end and read back what its batches wrote."""
+def _drained(rows: DataFrame, mode: str) -> DataFrame:
+    """Run a stream to the end of its source and read back what its batches wrote."""
     import uuid
 
-    from sediment.storage import is_folder, shared_dir
+    from sediment.storage import ending, shared_dir
     from sediment.streaming.subscribe import keep_batches
 
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    home = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(schema)
-    # A file source watches a folder: the table itself, or the folder of a table that is one file.
-    source = source.parquet(f"{d}/events.parquet") if is_folder(spark, f"{d}/events.parquet") else source.option("pathGlobFilter", "events.parquet").parquet(d)
-    rows = transform(source)
+    spark = rows.sparkSession
+    home = ending(spark, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
     run = rows.writeStream.outputMode(mode).foreachBatch(keep_batches(f"{home}/out")).option("checkpointLocation", f"{home}/check").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{home}/out")
@@ -607,48 +581,33 @@ def _drained(spark: SparkSession, d: str, transform: Callable[[DataFrame], DataF
 
 @query("SELECT id, stream_id FROM log WHERE branch = 'main' AND event_type = 'click'")
 def stream_subscribe(spark, d):
-    """A subscription over a file stream, repeated ids dropped."""
+    """What a subscription delivers, over a file stream."""
+    from sediment.storage import is_folder
     from sediment.streaming.subscribe import delivered
 
-    def rows(e: DataFrame) -> DataFrame:
-        stream = F.concat(F.lit("app/"), "event_type", F.lit("/"), F.col("user_id").cast("string"))
-        log = e.select(F.col("event_id").alias("id"), stream.alias("stream_id"), F.when(F.col("event_id") % 10 == 0, "alt").otherwise("main").alias("branch"))
-        return delivered(log, "app/click/*").dropDuplicates(["id"]).select("id", "stream_id")
-
-    return _drained(spark, d, rows, "append").select("id", "stream_id")
+    source = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema)
+    # A file source watches a folder: the table itself, or the folder of a table that is one file.
+    e = source.parquet(f"{d}/events.parquet") if is_folder(spark, f"{d}/events.parquet") else source.option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = F.concat(F.lit("app/"), "event_type", F.lit("/"), F.col("user_id").cast("string"))
+    log = e.select(F.col("event_id").alias("id"), stream.alias("stream_id"), F.when(F.col("event_id") % 10 == 0, "alt").otherwise("main").alias("branch"))
+    return _drained(delivered(log, "app/click/*").select("id", "stream_id"), "append").select("id", "stream_id")
 
 
-@query("SELECT stream_id, branch, '[' || count(*) || ', ' || sum(k) || ', ' || max_by(k, id) || ']' AS state FROM log GROUP BY stream_id, branch")
+@query(_TAGS_SQL)
 def stream_stateful_fold(spark, d):
-    """A reducer kept up by a stream: keyed state, one row a changed key and batch."""
-    from sediment.streaming.subscribe import stateful_fold
-
-    def rows(e: DataFrame) -> DataFrame:
-        stream = F.concat(F.lit("app/"), "event_type", F.lit("/"), F.col("user_id").cast("string"))
-        log = e.select(stream.alias("stream_id"), F.when(F.col("event_id") % 10 == 0, "alt").otherwise("main").alias("branch"), F.col("event_id").alias("version"), F.col("props").alias("payload"))
-        return stateful_fold(log, _Tags())
-
-    out = _drained(spark, d, rows, "update")
-    return out.groupBy("stream_id", "branch").agg(F.max_by("state", F.struct("batch", "version")).alias("state"))
-
-
-@query("SELECT consumer_id, max_by(version, id) AS version FROM (SELECT 'c' || (id % 7) AS consumer_id, version, id FROM log) GROUP BY consumer_id")
-def consumer_cursors(spark, d):
-    """The last cursor set by each consumer; it may have gone back."""
-    sets = event_log(spark, d).select(F.concat(F.lit("c"), (F.col("id") % 7).cast("string")).alias("consumer_id"), "version", "id")
-    return sets.groupBy("consumer_id").agg(F.max_by("version", "id").alias("version"))
-
+    """A reducer kept up by a stream of two batches, odd versions before even ones: states wait for what is late."""
+    import uuid
 
-@query("SELECT stream_id, min(timestamp_us) AS declared_at FROM log GROUP BY stream_id")
-def stream_registry(spark, d):
-    """Streams by their first event; first declaration wins."""
-    return event_log(spark, d).groupBy("stream_id").agg(F.min("timestamp_us").alias("declared_at")).where(~glob.is_system(F.col("stream_id")))
+    from sediment.storage import ending, shared_dir
+    from sediment.streaming.subscribe import stateful_fold
 
-
-@query("SELECT id, stream_id, branch, version FROM log WHERE id <> 42")
-def purge_read(spark, d):
-    """What is left after one event is purged."""
-    return event_log(spark, d).where("id <> 42").select("id", "stream_id", "branch", "version")
+    rows = event_log(spark, d).select("stream_id", "branch", "version", "payload")
+    path = ending(spark, f"{shared_dir(spark)}/late-{uuid.uuid4().hex}")
+    for part in (1, 0):
+        rows.where(f"version % 2 = {part}").coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = _drained(stateful_fold(source, _Tags()), "update")
+    return out.groupBy("stream_id", "branch").agg(F.max_by(F.struct("version", "state"), "batch").alias("s")).select("stream_id", "branch", "s.version", "s.state")
 
 
 @query("""WITH s AS (SELECT user_id, timestamp_us, CASE WHEN timestamp_us - lag(timestamp_us) OVER (PARTITION BY user_id ORDER BY timestamp_us) < 3600000000 THEN 0 ELSE 1 END AS fresh FROM log),
@@ -668,6 +627,395 @@ def ext_tumbling(spark, d):
     return found.select("event_type", F.unix_micros("window.start").alias("start_us"), "n")
 
 
+# The log's own API, on logs made of the events table.
+
+_FILLED: dict[tuple[str, str], str] = {}
+
+
+def _new_log(spark: SparkSession, rows: DataFrame | None = None):
+    """A log of its own, gone when the application ends; with ``rows`` their streams are declared."""
+    import uuid
+
+    from sediment.sources.log import EventLog
+    from sediment.storage import ending, shared_dir
+
+    log = EventLog(spark, ending(spark, f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"))
+    if rows is not None:
+        log.declare_frame(rows, "catalogue")
+    return log
+
+
+def _incoming(rows: DataFrame) -> DataFrame:
+    """The events table as what ``append_frame`` takes; payloads name the event, so that none are equal."""
+    payload = F.concat(F.lit('{"e":'), F.col("id").cast("string"), F.lit(',"k":'), F.col("k").cast("string"), F.lit("}"))
+    group = F.unhex(F.sha2(F.col("correlation_id").cast("string"), 256))
+    return rows.select(F.col("id").alias("ordinal"), "stream_id", "branch", "timestamp_us", F.lit(None).cast("binary").alias("causation_id"), group.alias("correlation_id"), "event_type", "type_version", payload.alias("payload"), "external_id", "indexed_tags")
+
+
+def _filled(spark: SparkSession, d: str, own: bool = False):
+    """A log of all events, in order of id. One is kept for all queries that only read; ``own`` makes another."""
+    from sediment.sources.log import EventLog
+
+    key = (spark.sparkContext.applicationId, d)
+    if not own and key in _FILLED:
+        return EventLog(spark, _FILLED[key])
+    rows = event_log(spark, d)
+    log = _new_log(spark, rows)
+    log.append_frame(_incoming(rows))
+    if not own:
+        _FILLED[key] = log.path
+    return log
+
+
+def _made(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
+    return spark.createDataFrame(list(rows), schema)
+
+
+#: The filled log in SQL: versions go by order of id.
+_STORE = "st AS (SELECT *, row_number() OVER (PARTITION BY stream_id, branch ORDER BY id) - 1 AS v FROM log)"
+
+
+def _event() -> Column:
+    """The number of the event that a payload names."""
+    return F.get_json_object("payload", "$.e").cast("long")
+
+
+def _ours() -> Column:
+    """Not the engine's own streams."""
+    return ~glob.is_system(F.col("stream_id"))
+
+
+@query(f"WITH {_STORE} SELECT external_id, stream_id, branch, v AS version FROM st WHERE id <> 42")
+def purge_read(spark, d):
+    """What is left after one event is purged: its audit record is a system event."""
+    from sediment.sources.log import CONFIRM_PURGE
+
+    log = _filled(spark, d, own=True)
+    target = log.raw.where("external_id = 'ext-42'").first()
+    if target is not None:
+        log.purge_event(bytes(target["id"]), CONFIRM_PURGE, "asked", "catalogue")
+    return log.raw.where(_ours()).select("external_id", "stream_id", "branch", "version")
+
+
+@query("SELECT id, id IN (SELECT min(id) FROM log GROUP BY event_type, type_version, k) AS is_new FROM log")
+def append_dedup(spark, d):
+    """Which events of a batch are written: of those of equal content the first."""
+    rows = event_log(spark, d)
+    out = _new_log(spark, rows).append_frame(_incoming(rows).withColumn("payload", F.regexp_replace("payload", r'"e":\d+,', "")))
+    return out.select(F.col("ordinal").alias("id"), "is_new")
+
+
+@query("SELECT event_type AS consumer_id, count(*) - 1 AS version, NULL AS none FROM log GROUP BY event_type")
+def consumer_cursors(spark, d):
+    """The last cursor set by each consumer counts; it may have gone back."""
+    log = _new_log(spark)
+    counts = event_log(spark, d).groupBy("event_type").count().collect()
+    for r in counts:
+        log.set_cursor(r["event_type"], "app/x", r["count"])
+        log.set_cursor(r["event_type"], "app/x", r["count"] - 1)
+    return _made(spark, "consumer_id string, version long, none long", *[(r["event_type"], log.get_cursor(r["event_type"], "app/x"), log.get_cursor(r["event_type"], "app/y")) for r in counts])
+
+
+@query("SELECT DISTINCT stream_id AS id, 'first' AS declared_by, TRUE AS known FROM log")
+def stream_registry(spark, d):
+    """Declared streams, the engine's own left out; the first declaration counts."""
+    log = _new_log(spark)
+    rows = event_log(spark, d)
+    log.declare_frame(rows, "first")
+    one = rows.agg(F.min("stream_id")).first()[0]
+    log.declare_stream(one, "second")
+    known = log.stream_exists(one) and not log.stream_exists("app/none")
+    return log.streams().select("id", "declared_by", F.lit(known).alias("known"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'main', 2, 'promoted', 'good'), ('b', 'a', 0, 'dead_end', 'bad'), ('c', 'main', 1, 'ephemeral', NULL)) AS t(id, parent_id, parent_version, lifecycle, closed_reason)", raw=True)
+def branch_lifecycle(spark, d):
+    """Branches made, promoted and ended; a second end of another kind is refused."""
+    from sediment.model import BranchExists, BranchLifecycleError
+
+    log, stream = _new_log(spark), "app/x"
+    for name, parent, at in (("a", "main", 2), ("b", "a", 0), ("c", "main", 1)):
+        log.create_branch(stream, name, parent, at)
+    log.promote_branch(stream, "a", "good")
+    log.mark_branch_dead_end(stream, "b", "bad")
+    for call, error in ((lambda: log.promote_branch(stream, "b"), BranchLifecycleError), (lambda: log.create_branch(stream, "a"), BranchExists)):
+        try:
+            call()
+        except error:
+            continue
+        raise AssertionError(error)
+    return log.list_branches(stream).select("id", "parent_id", "parent_version", "lifecycle", "closed_reason")
+
+
+class _Counted(fold.Reducer):
+    """Count and sum of ``k``."""
+
+    name = "counted"
+
+    def initial_state(self):
+        return [0, 0]
+
+    def apply(self, state, payload):
+        return [state[0] + 1, state[1] + payload["k"]]
+
+
+@query(f"""WITH {_STORE}, s AS (SELECT * FROM st WHERE stream_id = {_FIRST} AND branch = 'main'), j AS (SELECT '[' || count(*) || ', ' || sum(k) || ']' AS state, max(v) AS v FROM s)
+SELECT 'state' AS what, state AS value FROM j UNION ALL SELECT 'state named', state FROM j UNION ALL SELECT 'state after snapshot', state FROM j
+UNION ALL SELECT 'state at 1', '[' || count(*) || ', ' || sum(k) || ']' FROM s WHERE v <= 1
+UNION ALL SELECT 'snapshot version', CAST(v AS VARCHAR) FROM j UNION ALL SELECT 'snapshot again', CAST(v AS VARCHAR) FROM j UNION ALL SELECT 'snapshot kept', v || ' ' || state FROM j
+UNION ALL SELECT 'other schema', 'None' UNION ALL SELECT 'written', '7 [1, 2]' UNION ALL SELECT 'dropped', '2' UNION ALL SELECT 'left', '0'""")
+def state_api(spark, d):
+    """A registered reducer: state, state at a version, snapshots taken, looked up, written and dropped."""
+    log = _filled(spark, d, own=True)
+    stream = _first_stream(event_log(spark, d))
+    log.register_reducer("app/**", _Counted())
+    text = str
+    out = [("state", text(log.read_state(stream))), ("state named", text(log.read_state(stream, reducer_name="counted"))), ("state at 1", text(log.read_state(stream, at_version=1)))]
+    out += [("snapshot version", text(log.take_snapshot(stream)["version"])), ("snapshot again", text(log.take_snapshot(stream)["version"])), ("state after snapshot", text(log.read_state(stream)))]
+    kept = log.get_snapshot_state(stream, "main", "counted", 1)
+    out += [("snapshot kept", f"{kept[0]} {kept[1]}"), ("other schema", text(log.get_snapshot_state(stream, "main", "counted", 9)))]
+    log.write_snapshot_state("app/w", "main", 7, "counted", 1, 1, "[1, 2]")
+    info = log.snapshot_info("app/w", "main", "counted")
+    out.append(("written", f"{info['version']} {info['state']}"))
+    log.reducers = fold.Reducers()
+    out += [("dropped", text(log.gc_orphaned_snapshots())), ("left", text(log.snapshots.count()))]
+    return _made(spark, "what string, value string", *out)
+
+
+class _Ordered(aggregate.Aggregate):
+    """Number of events, sum of ``k`` and the last event, in fold order."""
+
+    def initial(self):
+        return [0, 0, None]
+
+    def fold(self, state, event):
+        import json
+
+        payload = json.loads(event["payload"])
+        return [state[0] + 1, state[1] + payload["k"], payload["e"]]
+
+    def finalize(self, state):
+        return tuple(state)
+
+
+class _Merged(_Ordered):
+    def merge(self, a, b):
+        return [a[0] + b[0], a[1] + b[1], a[2] if b[2] is None else b[2]]
+
+
+_FOLD_ORDER = "timestamp_us, stream_id, branch, v"
+
+
+@query(f"""WITH {_STORE}, s AS (SELECT * FROM st WHERE branch = 'main'), w AS (SELECT count(*) AS n, sum(k) AS total, max_by(id, timestamp_us) AS last_id FROM s), p AS (SELECT * FROM s ORDER BY {_FOLD_ORDER} LIMIT 300)
+SELECT 'merged' AS kind, n, total, last_id, NULL AS reason FROM w UNION ALL SELECT 'chain', n, total, last_id, NULL FROM w
+UNION ALL SELECT 'bounded', count(*), sum(k), max_by(id, timestamp_us), 'count' FROM p""")
+def agg_object(spark, d):
+    """Folds given as objects: in parallel with a merge, as one chain without, and within a budget."""
+    log, q = _filled(spark, d), AggregateQuery("app/**")
+    part = log.aggregate_bounded(q, _Merged(), max_events=300)
+    rows = [("merged", *log.aggregate(q, _Merged()), None), ("chain", *log.aggregate(q, _Ordered()), None), ("bounded", *part.data, part.reason)]
+    return _made(spark, "kind string, n long, total long, last_id long, reason string", *rows)
+
+
+@query(f"WITH {_STORE}, s AS (SELECT id, sha256(CAST(correlation_id AS VARCHAR)) AS c FROM st) SELECT id, 0 AS extra FROM s WHERE c = (SELECT sha256(CAST({_CORR} AS VARCHAR)))")
+def correlation_pages(spark, d):
+    """A group read two rows at a time, each page by the cursor of the one before; pages share no row."""
+    log = _filled(spark, d)
+    group = event_log(spark, d).orderBy("id").select(F.unhex(F.sha2(F.col("correlation_id").cast("string"), 256)).alias("c")).first()[0]
+    cursor, found = None, []
+    while True:
+        page = log.read_by_correlation_bounded(bytes(group), max_results=2, cursor=cursor)
+        found += [r[0] for r in page.data.select(_event()).collect()]
+        if page.complete:
+            break
+        cursor = page.cursor
+    again = [_event_of(r) for r in log.read_by_correlation_iter(bytes(group))]
+    return _made(spark, "id long, extra long", *[(i, len(found) - len(again)) for i in set(found) | set(again)])
+
+
+def _event_of(row) -> int:
+    import json
+
+    return json.loads(row["payload"])["e"]
+
+
+@query(f"WITH {_STORE} SELECT id, v AS version FROM st WHERE stream_id = {_FIRST} AND branch = 'main'")
+def range_pages(spark, d):
+    """A stream read by byte budgets, page by page, against the iterator over all of it."""
+    log = _filled(spark, d)
+    stream = _first_stream(event_log(spark, d))
+    cursor, found = None, []
+    while True:
+        page = log.read_range_bounded(stream, max_bytes=60, cursor=cursor)
+        found += [(_event_of(r), r["version"]) for r in page.data.collect()]
+        if page.complete:
+            break
+        if page.reason != "bytes":
+            raise AssertionError(page.reason)
+        cursor = page.cursor
+    whole = [(_event_of(r), r["version"]) for r in log.read_range_iter(stream)]
+    return _made(spark, "id long, version long", *(whole if whole == found else found + whole))
+
+
+@query(f"RECURSIVE WITH {_WALK}, w AS (SELECT id, 0 AS depth FROM start UNION ALL SELECT t.id, w.depth + 1 FROM w JOIN t ON t.causation_id = w.id) SELECT id, depth FROM w WHERE depth > 0")
+def walk_pages(spark, d):
+    """A walk within a budget of rows, taken up again by its cursor until it is complete: whole levels, none twice."""
+    log = _tree(spark, d)
+    start, cursor, found = _start(log), None, []
+    while True:
+        page = graph.walk_causation_bounded(log, start, graph.FORWARD, max_results=5, cursor=cursor)
+        found += [(r["id"], r["depth"]) for r in page.data.select("id", "depth").collect()]
+        if page.complete:
+            return _made(spark, "id long, depth int", *found)
+        cursor = page.cursor
+
+
+@query("SELECT * FROM (VALUES ('append', 0), ('again', 0), ('batch', 2), ('if not', -1), ('if', 3), ('undeclared', -2)) AS t(what, version)", raw=True)
+def append_api(spark, d):
+    """One event, the same again, a batch with a repeat, and conditional ones."""
+    from sediment.model import Append, StreamNotDeclared
+
+    log = _new_log(spark)
+    log.declare_stream("app/x", "catalogue")
+    at = lambda i: log.read_one(i)["version"]
+    one = log.append(Append("app/x", "T", {"n": 0}))
+    out = [("append", at(one)), ("again", at(log.append(Append("app/x", "T", {"n": 0}))))]
+    ids = log.append_batch([Append("app/x", "T", {"n": n}) for n in (1, 0, 2)])
+    out.append(("batch", max(at(i) for i in ids)))
+    holds = lambda n: lambda events: events.where("stream_id = 'app/x'").count() == n
+    out += [("if not", -1 if log.append_if(Append("app/x", "T", {"n": 3}), holds(9)) is None else 0), ("if", at(log.append_if(Append("app/x", "T", {"n": 3}), holds(3))))]
+    try:
+        log.append_if(Append("app/none", "T", {}), holds(0))
+    except StreamNotDeclared:
+        out.append(("undeclared", -2))
+    return _made(spark, "what string, version long", *out)
+
+
+@query("SELECT tree.id, causation_id AS cause, 'src/' || stream_id AS hub_stream FROM tree JOIN log USING (id)")
+def relay_causation(spark, d):
+    """All events go to a hub, twice; each copy's cause is the copy of its cause."""
+    from sediment.streaming.subscribe import relay_batch
+
+    log = event_log(spark, d, causes=True)
+    name = lambda c: F.unhex(F.sha2(F.col(c).cast("string"), 256))
+    place = F.row_number().over(W.partitionBy("stream_id").orderBy("timestamp_us", "id")).cast("long") - 1
+    payload = F.concat(F.lit('{"e":'), F.col("id").cast("string"), F.lit("}"))
+    batch = log.select(name("id").alias("id"), "stream_id", F.lit("main").alias("branch"), place.alias("version"), "timestamp_us", name("causation_id").alias("causation_id"), "event_type", "type_version", payload.alias("payload"), "indexed_tags")
+    hub = _new_log(spark)
+    for _ in range(2):
+        relay_batch(batch, hub, "src")
+    copies = hub.raw.where(_ours())
+    causes = copies.select(F.col("id").alias("causation_id"), _event().alias("cause"))
+    return copies.select("stream_id", "causation_id", _event().alias("id")).join(causes, "causation_id", "left").select("id", "cause", F.col("stream_id").alias("hub_stream"))
+
+
+@query("SELECT * FROM (VALUES ('ProjectRegistered', 'src', 'a/**', NULL), ('RelayHeartbeat', 'src', NULL, 7)) AS t(event_type, source_store, pattern, version)", raw=True)
+def system_events(spark, d):
+    """What the engine records about itself."""
+    log = _new_log(spark)
+    log.emit_project_registered("src", "/x", "a/**", "a project")
+    log.emit_relay_heartbeat("src", 7, 0, 1)
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    return log.raw.where(~_ours()).select("event_type", F.get_json_object("indexed_tags", "$.source_store").alias("source_store"), field("subscribe_pattern").alias("pattern"), field("last_event_version").cast("long").alias("version"))
+
+
+_NAMES = {
+    "stream": ("a", "a/b/c/d", "a/b/c/d/e", "", "/a", "a//b", "a b", "a-1/_x"),
+    "branch": ("alt", "main", "a/b", "a//b", "/a", ""),
+    "pattern": ("**", "a/*", "", "/a", "a/", "a b"),
+    "id": ("0" * 64, "F" * 64, "0" * 63, "g" * 64),
+}
+_GOOD = {"stream": ("a", "a/b/c/d", "a-1/_x"), "branch": ("alt", "a/b"), "pattern": ("**", "a/*"), "id": ("0" * 64, "F" * 64)}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{kind}', '{n}', {n in _GOOD[kind]})" for kind, names in _NAMES.items() for n in names) + ") AS t(kind, name, good)", raw=True)
+def names_valid(spark, d):
+    """Which stream ids, branch ids, patterns and event ids are accepted."""
+    from sediment import model
+
+    checks = {"stream": model.validate_stream_id, "branch": model.validate_branch_id, "pattern": glob.validate_pattern, "id": model.parse_id}
+
+    def good(kind: str, name: str) -> bool:
+        try:
+            checks[kind](name)
+        except model.EventLogError:
+            return False
+        return True
+
+    return _made(spark, "kind string, name string, good boolean", *[(kind, n, good(kind, n)) for kind, names in _NAMES.items() for n in names])
+
+
+@query("""SELECT DISTINCT stream_id, CASE WHEN stream_id LIKE 'app/click/%' THEN 'clicks' WHEN stream_id LIKE 'app/%' THEN 'rest' END AS reducer FROM log
+UNION ALL SELECT 'overlap', CAST(TRUE AS VARCHAR) UNION ALL SELECT 'apart', CAST(FALSE AS VARCHAR)""")
+def reducer_choice(spark, d):
+    """The reducer of the most specific pattern for every stream, and whether patterns overlap."""
+
+    class One(_Counted):
+        def __init__(self, name: str):
+            self.name = name
+
+    known = fold.Reducers()
+    for pattern, name in (("**", "all"), ("app/*/*", "rest"), ("app/click/*", "clicks")):
+        known.register(pattern, One(name))
+    streams = [r[0] for r in event_log(spark, d).select("stream_id").distinct().toLocalIterator()]
+    rows = [(s, known.for_stream(s).name) for s in streams]
+    return _made(spark, "stream_id string, reducer string", *rows, ("overlap", str(glob.overlap("a/*/c", "a/b/*")).lower()), ("apart", str(glob.overlap("a/b", "a/c")).lower()))
+
+
+def _embedded(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("key"), F.concat(F.lit("emb/"), F.col("label").cast("string")).alias("stream_id"), "embedding")
+
+
+@query(f"WITH {_Q} SELECT key, round(score, 6) + 0 AS score FROM (SELECT key, {_KNN['knn_cosine'][2]} AS score FROM x, q WHERE key % 7 <> 3) ORDER BY score, key LIMIT 10", raw=True)
+def knn_dirty(spark, d):
+    """Every seventh vector is null: it has no distance and is never a neighbour."""
+    rows = _embedded(spark, d)
+    q = [float(x) for x in rows.orderBy("key").select("embedding").first()[0]]
+    dirty = rows.withColumn("embedding", F.when(F.col("key") % 7 != 3, F.col("embedding")))
+    return KnnIndex(dirty, len(q)).query(q, 10).select("key", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query(f"WITH {_Q} SELECT key, round(score, 6) + 0 AS score FROM (SELECT key, {_KNN['knn_l2'][2]} AS score FROM x, q WHERE key % 5 <> 2) ORDER BY score, key LIMIT 10", raw=True)
+def knn_index(spark, d):
+    """An index added to, removed from, saved, loaded, set on a log and asked there."""
+    from sediment.storage import ending, shared_dir
+
+    rows = _embedded(spark, d)
+    q = [float(x) for x in rows.orderBy("key").select("embedding").first()[0]]
+    index = KnnIndex(rows.where("key % 2 = 0"), len(q), "l2").add(rows).remove(rows.where("key % 5 = 2"))
+    log = _new_log(spark)
+    path = ending(spark, f"{log.path}-knn")
+    index.save(path)
+    log.set_index(KnnIndex.load(spark, path, len(q), "l2"))
+    return log.similarity_query(q, 10).select("key", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query("SELECT count(*) FILTER (vec_id % 20 = 0) AS queries, TRUE AS enough, count(*) AS indexed FROM embeddings", raw=True)
+def knn_ann(spark, d):
+    """Approximate neighbours by cells: every row is indexed, and recall at 10 against exact search is 0.9 or more."""
+    rows = _embedded(spark, d)
+    index = CellIndex.fit(rows, "cosine")
+    wanted = rows.where("key % 20 = 0").select(F.col("key").alias("query"), "embedding")
+    near, exact = index.query(wanted, 10), knn_batch(rows, wanted, 10)
+    recall = exact.join(near.select("query", "key", F.lit(1).alias("hit")), ["query", "key"], "left").agg(F.count("hit") / F.count(F.lit(1))).first()[0]
+    return _made(spark, "queries long, enough boolean, indexed long", (wanted.count(), recall >= 0.9, index.rows.count()))
+
+
+@query("SELECT id, stream_id FROM log WHERE branch = 'main' AND event_type = 'click' AND id % 2 = 1")
+def stream_resume(spark, d):
+    """A live subscription made anew after each append gets what came since it began, once."""
+    from sediment.storage import ending, shared_dir
+    from sediment.streaming.subscribe import Subscription, keep_batches
+
+    rows = event_log(spark, d)
+    log = _new_log(spark, rows)
+    home = ending(spark, f"{log.path}-sub")
+    for part in ("id % 2 = 0", "id % 4 = 1", "id % 4 = 3"):
+        log.append_frame(_incoming(rows.where(part)))
+        Subscription(log, "app/click/*", home).drain(keep_batches(f"{home}/out"))
+    return spark.read.parquet(f"{home}/out").select(_event().alias("id"), "stream_id")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """A filtered fold: main branch, a time range, a tag; counts and sums by event type."""
     ship(spark)

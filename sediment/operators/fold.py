@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sediment.functions.glob import matches, overlap, specificity
-from sediment.model import SNAPSHOT_SCHEMA, NoEventsToSnapshot, ReducerFailed, ReducerNotFound, ReducerPatternAmbiguous
+from sediment.functions.glob import matches, overlap, specificity, validate_pattern
+from sediment.model import ReducerFailed, ReducerNotFound, ReducerPatternAmbiguous
 from sediment.session import ship
 
 
@@ -65,6 +65,7 @@ class Reducers:
     entries: list[tuple[str, Reducer, SnapshotPolicy]] = field(default_factory=list)
 
     def register(self, pattern: str, reducer: Reducer, policy: SnapshotPolicy = SnapshotPolicy()) -> None:
+        validate_pattern(pattern)
         for other, _, _ in self.entries:
             if specificity(other) == specificity(pattern) and overlap(other, pattern):
                 raise ReducerPatternAmbiguous(f"{pattern} and {other}")
@@ -177,21 +178,3 @@ def live_snapshots(snapshots: DataFrame, reducers: Reducers) -> DataFrame:
     for name, schema in sorted(keys):
         ok = ok | ((F.col("reducer_name") == name) & (F.col("state_schema_version") == schema))
     return snapshots.where(ok)
-
-
-def large_states(states: DataFrame, threshold: int = 1 << 20) -> DataFrame:
-    """Keys whose state as JSON is larger than ``threshold`` bytes."""
-    size = F.octet_length("state")
-    return states.where(size > threshold).select("stream_id", "branch", size.alias("state_bytes"))
-
-
-def require_events(states: DataFrame, stream_id: str, branch: str):
-    """The single row of a key's fold, or an error."""
-    row = states.where((F.col("stream_id") == stream_id) & (F.col("branch") == branch)).first()
-    if row is None:
-        raise NoEventsToSnapshot(f"{stream_id} ({branch})")
-    return row
-
-
-def snapshot_schema() -> str:
-    return SNAPSHOT_SCHEMA

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sediment.functions.glob import matching
 from sediment.model import DimensionMismatch
@@ -150,3 +151,92 @@ class KnnIndex:
     @classmethod
     def load(cls, spark, path: str, dims: int, metric: str = "cosine") -> KnnIndex:
         return cls(spark.read.parquet(path), dims, metric)
+
+
+def _cells(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """The numbers of the ``probes`` nearest centres of each row, nearest first."""
+    d = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
+    return np.argsort(d, axis=1, kind="stable")[:, :probes]
+
+
+class CellIndex:
+    """Approximate neighbours: rows are dealt to the nearest of a fixed number of centres, a query looks into a few cells.
+
+    The centres are learnt by Lloyd's rounds from at most ``sample`` rows, those of least hash of the key;
+    every row is indexed. ``probes`` trades time for recall; as many probes as cells give the exact
+    answer. Metrics: cosine (vectors are scaled to unit length for the cells) and euclidean.
+    """
+
+    def __init__(self, rows: DataFrame, centres: np.ndarray, metric: str):
+        self.rows, self.centres, self.metric = rows, centres, metric
+
+    @staticmethod
+    def _placed(rows: DataFrame, centres: np.ndarray, metric: str, probes: int) -> DataFrame:
+        """``rows`` with an array of the nearest cells of ``embedding``; rows without one are left out."""
+        spark = rows.sparkSession
+        ship(spark)
+        sent = spark.sparkContext.broadcast(centres)
+        names = [c for c in rows.columns if c != "embedding"] + ["embedding"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                vectors = batch.column(len(names) - 1)
+                if not pc.all(pc.equal(pc.list_value_length(vectors), sent.value.shape[1])).as_py():
+                    raise DimensionMismatch(f"the index has {sent.value.shape[1]} dimensions")
+                x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, sent.value.shape[1])
+                near = _cells(_unit(x) if METRICS[metric] == "cosine" else x, sent.value, probes)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=[*names, "cells"])
+
+        own = rows.where(F.col("embedding").isNotNull()).select(*names)
+        return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+
+    @classmethod
+    def fit(cls, rows: DataFrame, metric: str = "cosine", cells: int = 256, sample: int = 20_000, rounds: int = 10) -> CellIndex:
+        """An index over ``rows`` (key, stream_id, embedding); fewer cells where the sample has under four rows a cell."""
+        if METRICS[metric] == "inner_product":
+            raise ValueError("cells need a distance")
+        picked = rows.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64("key"), "key").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
+        x = np.array(picked.to_pylist(), np.float64)
+        if METRICS[metric] == "cosine" and len(x):
+            x = _unit(x)
+        centres = x[: max(1, min(cells, len(x) // 4))]
+        for _ in range(rounds):
+            at = _cells(x, centres, 1)[:, 0]
+            total = np.zeros_like(centres)
+            np.add.at(total, at, x)
+            n = np.bincount(at, minlength=len(centres))[:, None]
+            centres = np.where(n > 0, total / np.maximum(n, 1), centres)
+        placed = cls._placed(rows.select("key", "stream_id", "embedding"), centres, metric, 1) if len(centres) else rows.limit(0).withColumn("cells", F.array(F.lit(0)))
+        return cls(placed.withColumn("cell", F.element_at("cells", 1)).drop("cells"), centres, metric)
+
+    def query(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """Rows (query, key, score): the nearest found for each of ``queries`` (query, embedding).
+
+        By default a query looks into a quarter of the cells, eight at least. Queries meet rows by an
+        equality of cells; the window keeps the ``k`` best of a task before the shuffle.
+        """
+        n = min(len(self.centres), max(8, len(self.centres) // 4) if probes is None else probes)
+        if not n:
+            return self.rows.sparkSession.createDataFrame([], "query long, key long, score double")
+        asked = self._placed(queries.select("query", "embedding"), self.centres, self.metric, n).select("query", F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
+        met = asked.join(self.rows, "cell").select("query", "key", F.round(_between(F.col("embedding"), F.col("q"), METRICS[self.metric]), 9).alias("score"))
+        place = F.row_number().over(W.partitionBy("query").orderBy("score", "key"))
+        return met.withColumn("_place", place).where(F.col("_place") <= max(0, k)).drop("_place")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(size == 0, 1.0, size)
+
+
+def _between(a: Column, b: Column, kind: str) -> Column:
+    """Distance of two vector columns."""
+
+    def total(x: Column, y: Column, fn) -> Column:
+        return F.aggregate(F.zip_with(x, y, fn), F.lit(0.0), lambda acc, v: acc + v)
+
+    if kind == "euclidean":
+        return F.sqrt(total(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)))
+    dot = lambda x, y: total(x, y, lambda u, v: u.cast("double") * v)
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(size == 0, F.lit(1.0)).otherwise(1 - dot(a, b) / size)

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sediment.functions.glob import matching
+from sediment.functions.glob import matching, validate_pattern
 from sediment.functions.tags import tags_match
 from sediment.model import MAIN, ReadOutcome
 from sediment.plans.budget import cut, outcome, payload_bytes
@@ -30,6 +30,7 @@ class AggregateQuery:
 
 def selected(events: DataFrame, q: AggregateQuery) -> DataFrame:
     """The events of a query, unordered. Comparisons come first and are pushed to the scan."""
+    validate_pattern(q.stream_pattern)
     rows = events.where(F.col("branch") == q.branch)
     if q.event_type is not None:
         rows = rows.where(F.col("event_type") == q.event_type)

@@ -36,13 +36,19 @@ def stored(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     ship(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     if not keep:
-        p, fs = _path(spark, path)
-        fs.mkdirs(p)
-        fs.deleteOnExit(p)
+        ending(spark, path)
     df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ending(spark: SparkSession, path: str) -> str:
+    """``path`` as a new folder that goes when the application ends."""
+    p, fs = _path(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def few(rows: DataFrame) -> DataFrame:
     """``rows``, a written narrow table, marked for broadcast if its counted size allows; else as it is, for a shuffle."""
     return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
