@@ -22,11 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sediment.llm.common import LOWER, UPPER, arrow_map, components, discard, stored
+from sediment.storage import few
 
 #: White space becomes a space, A-Z lower case.
 WORDS = bytes(32 if b == 32 or 9 <= b <= 13 else ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b for b in range(256))
-#: Rows up to this number are broadcast (two or three longs each), more are shuffled.
-MOST_SENT = 1_000_000
 #: Hashes whose bits are added up at once.
 _CHUNK = 65_536
 
@@ -147,17 +146,12 @@ def distinct_documents(docs: DataFrame, shingle: int = 5, radius: int = 2, group
 
     Null ids come after others. Of rows with equal id the one of least hash stays; of rows equal in
     every column one stays. Only ids and hashes are shuffled; whole rows move where rows are repeated
-    or where more than ``MOST_SENT`` rows go.
+    or where more than ``storage.MOST_SENT`` rows go.
     """
     own = docs.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)), "__row": F.xxhash64(*docs.columns)})
     return one_of_each(docs, own, near_duplicates(own, shingle, radius, groups, crowd, carry=("__id", "__row")))
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """``rows``, a written table of longs, to be broadcast if it is of bounded size; else it is joined by a shuffle."""
-    return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
-
-
 def one_of_each(docs: DataFrame, own: DataFrame, found: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component in ``found`` (__id, __row, component_id); ``own`` is ``docs`` with __id and __row."""
     names = docs.columns
