@@ -324,7 +324,8 @@ def score_texts(docs: DataFrame, s: Settings = Settings(), folds: int = 5, held:
 
     The model learns from the documents outside the held-out fold. A null or empty text is its end
     alone; repeated rows count and are scored each; a null id counts as the empty text in the fold.
-    With no training text every token is unseen.
+    With no training text every token is unseen. Long texts are read whole; extra columns are not read; an
+    empty table gives an empty one; words of equal count are ordered by their bytes.
     """
     docs = docs.select("doc_id", "text").withColumn("held_out", fold(F.col("doc_id"), folds) == held)
     model, tail = train_model(docs.where(~F.col("held_out")), s)

@@ -88,8 +88,9 @@ def chat_format(conversations: DataFrame, template: Callable[[list[Turn]], str]
 
     ``spans`` and ``mask`` are flat lists of starts and ends in code points of ``formatted``. Turns go
     by turn, then role, then text; null turns come first; a null text or role counts as empty; repeated
-    rows are turns of their own; a null conv_id is a conversation like any other. A formatted
-    conversation is one value, so its turns meet in one row.
+    rows are turns of their own; a null conv_id is a conversation like any other; extra columns are not
+    read; an empty table gives an empty one. A formatted conversation is one value, so its turns, however
+    long, meet in one row.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
@@ -107,7 +108,11 @@ def chat_format(conversations: DataFrame, template: Callable[[list[Turn]], str]
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What can be read back from formatted conversations: turns, loss text and their digests."""
+    """What can be read back from formatted conversations: turns, loss text and their digests.
+
+    One row for each of ``formatted``; a rewriting template has no mask, so its loss text is empty; an empty
+    table gives an empty one.
+    """
 
     def run(cols: dict, n: int) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites")}

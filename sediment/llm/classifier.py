@@ -88,13 +88,16 @@ def train(rows: list[tuple[np.ndarray, int]], s: Settings) -> tuple[np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", s: Settings = Settings()) -> tuple[np.ndarray, float]:
     """Weights and bias from the labelled rows of ``docs`` outside the held-out fold.
 
-    An id labelled more than once counts once, as 1 if at least half of its labels are 1; null labels
-    and ids are left out. Without any labelled row, or with one class only, the bias alone is learnt.
+    An id labelled more than once counts once, as 1 if at least half of its labels are 1; of several texts
+    of one id that of least hash counts; null labels and ids are left out, and so are labels without a
+    text's row. Without any labelled row, or with one class only, the bias alone is learnt. Null and empty
+    texts have no features; long ones are read whole; extra columns are not read.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id"), s.folds) != s.held))
     one = known.groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
     picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    texts = found.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     orders, bits = s.orders, s.bits
 
     def run(cols: dict, n: int) -> dict:
@@ -112,7 +115,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", s: Settings
 def score(docs: DataFrame, weights: np.ndarray, bias: float, s: Settings = Settings(), keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted) for every document.
 
-    A null or empty text scores by the bias alone; repeated rows are scored each.
+    A null or empty text scores by the bias alone; repeated rows are scored each; a null id counts as the
+    empty text in the fold; long texts are scored whole; extra columns are not read; an empty table gives
+    an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     orders, bits = s.orders, s.bits
@@ -130,7 +135,10 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, s: Settings = Setti
 
 
 def accepted(docs: DataFrame, weights: np.ndarray, bias: float, s: Settings = Settings(), least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, all columns as they were."""
+    """The rows of ``docs`` that score ``least`` or more, all columns as they were, extra ones too.
+
+    Null, empty and long texts, repeated rows and empty tables are handled as by ``score``.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     orders, bits = s.orders, s.bits
 

@@ -240,8 +240,9 @@ def cleaned(text: bytes, blocks: list[Automaton], limit: float) -> tuple[bytes |
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) for every document.
 
-    A null or empty text has no words; repeated rows are reported each; with no items nothing is hit.
-    Items with equal id count once. The automata are broadcast in blocks of bounded words.
+    A null or empty text has no words; repeated rows are reported each; with no items nothing is hit;
+    long texts are read whole; extra columns are not read; an empty table gives an empty one. Null items
+    have no words. Items with equal id count once. The automata are broadcast in blocks of bounded words.
     """
     blocks = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window, block_words))
 
@@ -260,10 +261,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, limit: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows (text, ord) of ``docs`` cleaned: spans cut out, documents over ``limit`` coverage dropped.
+    """``docs`` with hit spans cut out, documents of which more than ``limit`` is hit dropped.
 
-    All columns of ``docs`` stay; ``n_chars``, where there is one, follows the new text.
-    Documents without a hit keep their text unchanged, null included.
+    All columns of ``docs`` stay, extra ones too; ``n_chars``, where there is one, follows the new text.
+    Documents without a hit keep their text unchanged, null and empty ones included; repeated rows are
+    each cleaned alike; long texts are read whole; an empty table, or no items, changes nothing.
     """
     blocks = docs.sparkSession.sparkContext.broadcast(automata(benchmark, window, block_words))
     names = docs.columns

@@ -2,9 +2,10 @@
 
 The index is made from the notices below: for every word its inverse document frequency among them
 and its postings (notice, position). A file is looked up by the highest-IDF notice words it holds;
-each occurrence votes for (notice, file position - notice position), and a notice is a candidate
-where one relative position gathers enough of its rare words. A candidate counts only if all its
-mandatory key phrases stand in the file. Its score is the share of the notice's words found in place.
+each occurrence votes, with the word's IDF, for (notice, file position - notice position), and a notice
+is a candidate where one relative position gathers enough of the IDF of its rare words, each word
+counted once. A candidate counts only if all its mandatory key phrases stand in the file. Its score is
+the share of the notice's words found in place: each within ``slack`` words of its position.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ class LicenceIndex:
         self.need = []
         for k, (_, words, _) in enumerate(self.notices):
             best = sorted(set(words), key=lambda w: (-self.idf[w], w))[:rare]
-            self.need.append(len(best))
+            self.need.append(sum(self.idf[w] for w in best))
             for i, w in enumerate(words):
                 if w in best:
                     self.postings[w].append((k, i))
@@ -79,20 +80,21 @@ class LicenceIndex:
 
     def matches(self, words: list[bytes]) -> list[tuple[str, float, int]]:
         """(label, score, start) of each notice that passes votes and key phrases; best place each."""
-        votes: dict[int, Counter] = defaultdict(Counter)
-        seen: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
+        votes: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
+        exact: dict[int, dict[int, Counter]] = defaultdict(lambda: defaultdict(Counter))
         for i, w in enumerate(words):
             for k, j in self.postings.get(w, ()):
-                votes[k][(i - j) // (self.slack + 1)] += self.idf[w]
-                seen[k][(i - j) // (self.slack + 1)].add(w)
+                votes[k][(i - j) // (self.slack + 1)].add(w)
+                exact[k][(i - j) // (self.slack + 1)][i - j] += 1
         out = []
         for k, bins in votes.items():
             label, notice, keys = self.notices[k]
-            good = [o for o in bins if len(seen[k][o] | seen[k].get(o + 1, set())) >= self.least * self.need[k]]
+            good = [o for o in bins if sum(self.idf[w] for w in bins[o] | bins.get(o + 1, set())) >= self.least * self.need[k]]
             if good and all(self._has(words, key) for key in keys):
-                best = max((self._overlap(words, notice, o * (self.slack + 1)), -o) for o in good)
+                starts = [min(exact[k][o], key=lambda s: (-exact[k][o][s], s)) for o in good]
+                best = max((self._in_place(words, notice, s), -s) for s in starts)
                 if best[0] >= self.least:
-                    out.append((label, best[0], -best[1] * (self.slack + 1)))
+                    out.append((label, best[0], max(0, -best[1])))
         return out
 
     @staticmethod
@@ -106,11 +108,10 @@ class LicenceIndex:
         except ValueError:
             return False
 
-    def _overlap(self, words: list[bytes], notice: list[bytes], start: int) -> float:
-        """Share of the notice's words that the file has near their place, repeats counted."""
-        a = max(0, start - self.slack)
-        near = Counter(words[a : max(a, start + len(notice) + 2 * self.slack)])
-        return sum((near & Counter(notice)).values()) / len(notice)
+    def _in_place(self, words: list[bytes], notice: list[bytes], start: int) -> float:
+        """Share of the notice's words that the file has within ``slack`` words of their place."""
+        near = (words[max(0, start + j - self.slack) : max(0, start + j + self.slack + 1)] for j in range(len(notice)))
+        return sum(w in part for w, part in zip(notice, near, strict=True)) / len(notice)
 
 
 def licence_scan(docs: DataFrame, index: LicenceIndex | None = None) -> DataFrame:
@@ -118,7 +119,8 @@ def licence_scan(docs: DataFrame, index: LicenceIndex | None = None) -> DataFram
 
     ``labels`` joins the labels of base phrases and of matched notices; ``score`` is the best notice's
     score, or 0.5 where only a base phrase stands, else 0. A null or empty text has no words, null
-    places and empty labels; repeated rows are reported each.
+    places and empty labels; repeated rows are reported each; long texts are read whole; of equal places
+    the first counts; extra columns are not read; an empty table gives an empty one.
     """
     made = index or LicenceIndex()
 

@@ -2,9 +2,11 @@
 
 Each text's figures are computed in its own row (no shuffle of words or lines). Ratios of these
 figures go into KLL quantile sketches for every language and source; sketches merge into one for each
-language and one for all. A document is held against fences around the middle half of its own group:
-beyond the fence on any ratio it is not kept. A group of fewer than ``least_rows`` documents uses its
-language's sketch, a language of fewer uses that of all.
+language and one for all. A document is held against fences of its own group: beyond the fence on any
+ratio it is not kept. A fence lies ``share`` of the way from the group's median to its far percentile,
+and three interquartile ranges away at least, so its distance follows the group's own spread and tail.
+A group's quantiles are drawn towards its language's, and those towards all, by weight of ``prior``
+rows, at every size alike.
 """
 
 from __future__ import annotations
@@ -22,24 +24,27 @@ SPACE = r"[\x20\x09-\x0D]"
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio, which side is bad, and the least distance of its fence from the middle half."""
+    """A ratio, which side is bad, and a floor of its fence's distance for groups without any spread."""
 
     name: str
     value: str
-    margin: float
+    floor: float
     below: bool = False
     above: bool = True
 
 
-#: The adaptive rules. ``margin`` keeps a fence off groups whose middle half is a single value.
+#: The adaptive rules. A floor decides only where a group's whole range is narrower.
 RULES = (
-    Rule("symbols", "n_symbols / word_chars", 0.05),
-    Rule("word_length", "word_chars / n_words", 3.0, below=True),
-    Rule("repeats", "n_repeat_words / n_words", 0.25),
-    Rule("dup_lines", "n_dup_lines / n_lines", 0.25),
-    Rule("capitals", "n_capitals / n_words", 0.30),
+    Rule("symbols", "n_symbols / word_chars", 0.01),
+    Rule("word_length", "word_chars / n_words", 0.3, below=True),
+    Rule("repeats", "n_repeat_words / n_words", 0.02),
+    Rule("dup_lines", "n_dup_lines / n_lines", 0.02),
+    Rule("capitals", "n_capitals / n_words", 0.02),
 )
 
+#: The quantiles that fences are made of: far, lower quarter, median, upper quarter, far.
+QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
+
 
 def figures(text: Column) -> dict[str, Column]:
     """Counts of one text. Windows of three words are compared as strings; only a text in which any
@@ -91,46 +96,55 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(rows: DataFrame, rules: tuple[Rule, ...] = RULES, least_rows: int = 100, reach: float = 3.0, k: int = 400) -> DataFrame:
+def thresholds(rows: DataFrame, rules: tuple[Rule, ...] = RULES, prior: float = 100.0, share: float = 0.6, reach: float = 3.0, k: int = 400) -> DataFrame:
     """Rows (lang, source, <rule>_low, <rule>_high), one for each group of ``rows``; nulls make groups of their own.
 
     Sketches are made once for each language and source (partial sketches merge before the shuffle),
     then merged for each language and for all.
     """
     ratios = rows.select("lang", "source", *[F.expr(f"CASE WHEN {r.value.split('/')[1]} > 0 THEN cast({r.value} AS double) END").alias(r.name) for r in rules])
-    sketches = stored(ratios.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.col(r.name), F.lit(k)).alias(r.name) for r in rules]), "sketches")
-    merge = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(F.col(r.name), F.lit(k)).alias(r.name) for r in rules]]
-    by_lang = sketches.groupBy("lang").agg(*merge)
-    by_all = sketches.agg(*merge)
+    sketches = stored(ratios.groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(F.col(r.name), F.lit(k)).alias(r.name) for r in rules]), "sketches")
+    merge = [F.kll_merge_agg_double(F.col(r.name), F.lit(k)).alias(r.name) for r in rules]
 
-    def fences(df: DataFrame, tag: str, *keys: str) -> DataFrame:
-        out = [F.col(x).alias(f"{tag}_{x}") for x in keys] + [F.col("n").alias(f"{tag}_n")]
+    def quantiles(df: DataFrame, tag: str, *keys: str) -> DataFrame:
+        out = [F.col(x).alias(f"{tag}_{x}") for x in keys]
         for r in rules:
-            ok = F.coalesce(F.kll_sketch_get_n_double(r.name), F.lit(0)) > 0
-            q = [F.when(ok, F.kll_sketch_get_quantile_double(F.col(r.name), F.lit(p))) for p in (0.25, 0.75)]
-            wide = F.greatest(reach * (q[1] - q[0]), F.lit(r.margin))
-            out += [(q[0] - wide).alias(f"{tag}_{r.name}_low"), (q[1] + wide).alias(f"{tag}_{r.name}_high")]
+            n = F.coalesce(F.kll_sketch_get_n_double(r.name), F.lit(0))
+            out.append(n.cast("double").alias(f"{tag}_{r.name}_n"))
+            out.append(F.when(n > 0, F.array(*[F.kll_sketch_get_quantile_double(F.col(r.name), F.lit(p)) for p in QUANTILES])).alias(f"{tag}_{r.name}"))
         return df.select(*out)
 
-    a, b, c = fences(sketches, "a", "lang", "source"), fences(by_lang, "b", "lang"), fences(by_all, "c")
+    def drawn(own: Column, n: Column, wider: Column) -> Column:
+        """``own`` quantiles of n rows and ``prior`` rows like the ``wider`` ones."""
+        mixed = F.zip_with(own, wider, lambda x, y: (n * x + prior * y) / (n + prior))
+        return F.coalesce(mixed, own, wider)
+
+    a, b, c = quantiles(sketches, "a", "lang", "source"), quantiles(sketches.groupBy("lang").agg(*merge), "b", "lang"), quantiles(sketches.agg(*merge), "c")
     both = a.join(b, F.col("a_lang").eqNullSafe(F.col("b_lang")), "left").join(F.broadcast(c))
     cols = [F.col("a_lang").alias("lang"), F.col("a_source").alias("source")]
     for r in rules:
-        for side in ("low", "high"):
-            pick = F.when(F.col("a_n") >= least_rows, F.col(f"a_{r.name}_{side}")).when(F.col("b_n") >= least_rows, F.col(f"b_{r.name}_{side}")).otherwise(F.col(f"c_{r.name}_{side}"))
-            cols.append(pick.alias(f"{r.name}_{side}"))
-    return both.select(*cols)
+        wider = drawn(F.col(f"b_{r.name}"), F.col(f"b_{r.name}_n"), F.col(f"c_{r.name}"))
+        cols.append(drawn(F.col(f"a_{r.name}"), F.col(f"a_{r.name}_n"), wider).alias(r.name))
+    made = both.select(*cols)
+    fences = []
+    for r in rules:
+        low, q1, mid, q3, high = (F.get(r.name, F.lit(i)) for i in range(len(QUANTILES)))
+        middle = reach * (q3 - q1)
+        fences.append((mid - F.greatest(middle, share * (mid - low), F.lit(r.floor))).alias(f"{r.name}_low"))
+        fences.append((mid + F.greatest(middle, share * (high - mid), F.lit(r.floor))).alias(f"{r.name}_high"))
+    return made.select("lang", "source", *fences)
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_rows: int = 100, reach: float = 3.0) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, prior: float = 100.0, share: float = 0.6, reach: float = 3.0) -> DataFrame:
     """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed) for every document.
 
     ``failed`` lists the adaptive rules that a document breaks. A null text has no words and fails the
     base rule; null languages and sources are groups of their own; repeated rows count and are
-    reported each; a ratio without a denominator breaks no rule.
+    reported each; a ratio without a denominator breaks no rule; long texts are measured whole; extra
+    columns are not read; an empty table gives an empty one. A value equal to its fence passes.
     """
     rows = stored(measured(docs), "figures")
-    limits = thresholds(rows, rules, least_rows, reach).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    limits = thresholds(rows, rules, prior, share, reach).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     whole = rows.join(limits, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
     broken = []
     for r in rules:

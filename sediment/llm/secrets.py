@@ -3,13 +3,16 @@
 Pattern spans are always reported. Besides them, every mixed string that follows a sensitive word is
 a candidate. Its marginal cost is the bytes it adds to a zstandard frame whose dictionary is an
 identifier list and the text around it: a name, a path or a value used elsewhere in the file costs a
-few bytes, a random key nearly one byte a character. Candidates that stay incompressible are reported
-as kind ``novel``.
+few bytes, a random key nearly one byte a character. Places where the same string is a candidate too
+are left out of its dictionary, so a key that follows two sensitive words doesn't vouch for itself;
+a value used in other places does. Candidates that stay incompressible are reported as kind ``novel``; where a long one has a small alphabet, entropy coding alone
+makes it shorter, so its limit is lowered in that measure.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -48,18 +51,30 @@ class Novelty:
     def __init__(self, around: int = 2048, level: int = 12):
         self.around, self.level = around, level
 
-    def cost(self, text: str, start: int, end: int) -> float:
-        """Bytes a character that text[start:end] adds to a frame primed with its surroundings."""
+    def cost(self, text: str, start: int, end: int, also: list[tuple[int, int]] = []) -> float:  # noqa: B006
+        """Bytes a character that text[start:end] adds to a frame primed with its surroundings but for the places ``also``."""
         import zstandard
 
-        near = text[max(0, start - self.around) : start] + "\n" + text[end : end + self.around]
+        first, last = max(0, start - self.around), min(len(text), end + self.around)
+        cuts = sorted({(start, end), *((a, b) for a, b in also if first <= a and b <= last)})
+        starts = [first, *(b for _, b in cuts)]
+        near = "\n".join(text[a:b] for a, b in zip(starts, [*(a for a, _ in cuts), last], strict=True))
         primer = zstandard.ZstdCompressionDict((IDENTIFIERS + "\n" + near).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         pack = zstandard.ZstdCompressor(level=self.level, dict_data=primer, write_content_size=False, write_checksum=False).compress
-        lead = text[max(0, start - 32) : start].encode()
+        lead = text[max(starts[cuts.index((start, end))], start - 32) : start].encode()
         value = text[start:end].encode()
         return (len(pack(lead + value)) - len(pack(lead))) / max(1, len(value))
 
 
+#: Length from which entropy coding shortens a random value, and bits of a character of full alphabet.
+LONG, BITS = 64, 6
+
+
+def alphabet(value: str) -> float:
+    """What a character of a random value of the same letters costs, as a share of the full alphabet's; 1 for short values."""
+    return min(1.0, math.log2(max(2, len(set(value)))) / BITS) if len(value) >= LONG else 1.0
+
+
 def base_spans(text: str, hints: tuple[bool, bool, bool] = (True, True, True)) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of the fixed patterns, each leftmost and non-overlapping."""
     out = []
@@ -82,7 +97,10 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], least: float, novel
             mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
             if mixed and not any(s < b and a < e for s, _, e in base):
                 found.add((a, b))
-    kept = sorted((a, 3, b) for a, b in found if novelty.cost(text, a, b) >= least)
+    places: dict[str, list[tuple[int, int]]] = {}
+    for a, b in found:
+        places.setdefault(text[a:b], []).append((a, b))
+    kept = sorted((a, 3, b) for value, at in places.items() for a, b in at if novelty.cost(text, a, b, at) >= least * alphabet(value))
     return [x for i, x in enumerate(kept) if not any(x[2] <= y[2] for y in kept[:i])]
 
 
@@ -119,7 +137,9 @@ def secret_scan(docs: DataFrame, least: float = 0.7, around: int = 2048) -> Data
 
     ``least`` is the cost in bytes a character from which a candidate is reported, ``around`` the
     characters of surrounding text on each side that prime its dictionary. A null or empty text has no
-    spans; repeated rows are reported each; offsets are code points, ends exclusive.
+    spans; repeated rows are reported each; long texts are searched whole; extra columns are not read; an
+    empty table gives an empty one. Offsets are code points, ends exclusive; of spans that start together
+    the kinds go as listed.
     """
 
     def run(cols: dict, n: int) -> dict:
@@ -138,7 +158,11 @@ def secret_scan(docs: DataFrame, least: float = 0.7, around: int = 2048) -> Data
 
 
 def redact(docs: DataFrame, least: float = 0.7, around: int = 2048, mark: str = "[REDACTED]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; rows and columns stay, ``n_chars`` follows the text."""
+    """``docs`` with every span replaced by ``mark``; rows and columns stay, extra ones too, ``n_chars`` follows the text.
+
+    Null and empty texts stay as they are; overlapping spans become one mark; repeated rows are each
+    changed alike; long texts are searched whole; an empty table gives an empty one.
+    """
     names = docs.columns
     prepare(docs.sparkSession)
 

@@ -129,7 +129,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, groups:
 
     Equal fingerprints meet in one row before any search, so groups of copies of any size cost a
     partial aggregate. A null or empty text has fingerprint zero and links like any other; rows of a
-    repeated id take part each with its own text; a null id names no component unless there is no other.
+    repeated id take part each with its own text; a null id names no component unless there is no other;
+    long texts are read whole; extra columns are not read; an empty table gives an empty one.
     """
     made = stored(fingerprints(docs, shingle, carry), "fingerprints")
     nodes = made.groupBy("fp").agg(F.min("doc_id").alias("least"))

@@ -271,7 +271,8 @@ def repeated_passages(docs: DataFrame, length: int = 50, window: int = 30, k: in
     """Rows (doc_id, start, end, n_words, other_id, other_start): word ranges that also stand in another document.
 
     Ranges of one document don't overlap or touch: what any neighbour covers is put together, and the
-    partner named is that of the longest part. Rows equal in id and text are one document; a null id is
+    partner named is that of the longest part, of ties that of least id and place. Long texts are read
+    whole; extra columns are not read; an empty table gives an empty one. Rows equal in id and text are one document; a null id is
     read as the greatest long in the search and null in the result; null and empty texts, and texts
     under ``length`` words, have no row. Repeats inside one document alone are not reported.
     """

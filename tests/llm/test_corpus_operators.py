@@ -287,6 +287,55 @@ def test_classifier_never_sees_held_out_labels(spark):
     assert np.array_equal(a[0], b[0]) and a[1] == b[1]
 
 
+def plain_features(text, bits):
+    """Feature numbers of a text by the definition, word by word."""
+    tokens = [zlib.crc32(t) for t in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", text)]
+    tokens = [classifier.REPEATED if i and t == tokens[i - 1] else t for i, t in enumerate(tokens)]
+    out = set()
+    for n in (1, 2):
+        for i in range(len(tokens) - n + 1):
+            mix = n
+            for t in tokens[i : i + n]:
+                mix = (mix ^ t) * 0x9E3779B97F4A7C15 % 2**64
+                mix ^= mix >> 29
+            out.add(mix >> (64 - bits))
+    return sorted(out)
+
+
+def test_classifier_equals_plain_ftrl(spark):
+    """Weights and scores against FTRL-proximal written out for one weight at a time."""
+    s = classifier.Settings(bits=12, epochs=2)
+    rng = random.Random(6)
+    rows = [(i, f"{prose(i, 8)} {'!! buy' if i % 3 else 'the of'} {rng.randrange(5)}") for i in range(40)] + [(50, ""), (51, None), (7, "another text of seven")]
+    labels = [(i, int(i % 3 == 0)) for i in range(40)] + [(50, 1), (51, 0)]
+    fitted = classifier.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), s=s)
+    swapped = classifier.fit(frame(spark, rows[::-1]), spark.createDataFrame(labels, "doc_id long, quality int"), s=s)
+    assert np.array_equal(fitted[0], swapped[0]) and fitted[1] == swapped[1]
+    sevens = [t for d, t in rows if d == 7]
+    first = spark.createDataFrame([(t,) for t in sevens], "t string").selectExpr("t").orderBy(common.F.xxhash64("t")).first()["t"]
+    text = {d: (t or "").encode() for d, t in rows if d != 7} | {7: first.encode()}
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    train = [(d, y) for d, y in labels if zlib.crc32(str(d).encode()) % 3 != 1]
+    for _ in range(s.epochs):
+        for d, y in sorted(train, key=lambda x: (zlib.crc32(str(x[0]).encode()), x[0])):
+            at = plain_features(text[d], s.bits)
+            x = {i: 1 / math.sqrt(max(1, len(at))) for i in at} | {-1: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / s.alpha * w[i]
+                n[i] += g * g
+    assert abs(fitted[1] - weight(-1)) < 1e-6 and all(abs(fitted[0][i] - weight(i)) < 1e-5 for i in range(1 << s.bits))
+    for r in classifier.score(frame(spark, rows), *fitted, s=s).where("doc_id <> 7").collect():
+        at = plain_features(text[r["doc_id"]], s.bits)
+        assert abs(r["score"] - 1 / (1 + math.exp(-weight(-1) - sum(weight(i) for i in at) / math.sqrt(max(1, len(at)))))) < 1e-4
+
+
 # Pipeline
 
 

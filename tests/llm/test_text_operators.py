@@ -2,6 +2,8 @@
 
 import hashlib
 import json
+import math
+import random
 import re
 from collections import Counter
 
@@ -295,3 +297,62 @@ def test_registered_names():
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in found if q.startswith("op")} == set(range(1, 11)) and "pipeline" in found
     assert json.dumps(sorted(queries.SQL)) == '["op10_decontam", "op9_chat"]'
     assert F is not None
+
+
+def test_quality_verdicts_equal_exact_quantiles(spark):
+    """Fences of small groups, whose sketches hold every value, by plain sorting."""
+    rng = random.Random(4)
+    texts, groups = [], []
+    for i in range(90):
+        words = [f"w{rng.randrange(400)}" + "x" * rng.randrange(3) for _ in range(60)]
+        if i % 9 == 0:
+            words[: rng.randrange(5, 40)] = ["##"] * rng.randrange(5, 40)
+        texts.append(" ".join(words[:30]) + "\n" + " ".join(words[30:]) + "\nsame line" * (i % 7 == 0) + "\nsame line" * (i % 14 == 0))
+        groups.append((None if i % 5 == 0 else "ab"[i % 2], f"s{i % 3}"))
+    rows = [(i, t, *g) for i, (t, g) in enumerate(zip(texts, groups, strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    made = {r["doc_id"]: r for r in quality.measured(df).collect()}
+    value = lambda r, i: eval(r.value, {}, made[i].asDict())
+
+    def at(values):
+        values = sorted(values)
+        return [values[max(0, math.ceil(p * len(values)) - 1)] for p in quality.QUANTILES], len(values)
+
+    def drawn(own, wider):
+        return [(own[1] * x + 100 * y) / (own[1] + 100) for x, y in zip(own[0], wider, strict=True)]
+
+    broken = {i: set() for i in made}
+    for r in quality.RULES:
+        whole, _ = at([value(r, i) for i in made])
+        for lang, source in set(groups):
+            own = [i for i in made if groups[i] == (lang, source)]
+            wide = drawn(at([value(r, i) for i in made if groups[i][0] == lang]), whole)
+            low, q1, mid, q3, high = drawn(at([value(r, i) for i in own]), wide)
+            up, down = (max(3 * (q3 - q1), 0.6 * far, r.floor) for far in (high - mid, mid - low))
+            for i in own:
+                if value(r, i) > mid + up + 1e-12 or r.below and value(r, i) < mid - down - 1e-12:
+                    broken[i].add(r.name)
+    out = quality.quality_rules(df).collect()
+    assert {r["doc_id"]: set(r["failed"].split(",")) - {""} for r in out} == broken
+    assert any(broken.values()) and not all(broken.values())
+
+
+def test_a_key_that_stands_twice_is_novel():
+    rng = random.Random(8)
+    key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
+    text = f"Authorization: Bearer {key}\nAuthorization: Bearer {key}\n"
+    assert [text[a:b] for a, _, b in secrets.find(text.encode(), 0.7, secrets.Novelty())[2]] == [key, key]
+    upper = "".join(rng.choices("0123456789ABCDEF", k=256))
+    assert [s[1:] for s in secrets.find(f"Bearer {upper}".encode(), 0.7, secrets.Novelty())[2]] == [(3, 263)]
+
+
+def test_licence_votes_and_score_go_by_position():
+    index = licenses.LicenceIndex()
+    words = [w for label, w, _ in index.notices if label == "unlicense"][0]
+    assert index.matches(words)[0][:2] == ("unlicense", 1.0)
+    assert [m[::2] for m in index.matches([b"x"] * 40 + words) if m[0] == "unlicense"] == [("unlicense", 40)]
+    key = [b"free", b"and", b"unencumbered", b"software"]
+    rest = [w for w in words if w not in key]
+    assert not index.matches([*rest[::-1], *key])
+    half = words[: len(words) // 3]
+    assert not [m for m in index.matches(half) if m[0] == "unlicense"]
