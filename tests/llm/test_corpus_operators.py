@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from conftest import SF
 
-from sediment.llm import brown, classifier, common, queries, simhash, suffix
+from sediment.llm import brown, classifier, common, queries, shingles, simhash, suffix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, word string, y string"
 
@@ -392,8 +392,6 @@ def test_pipeline_stages(spark):
 
 @pytest.mark.parametrize("frequent", [262_144, 0])
 def test_near_dedup_finds_all_pairs_of_similarity(spark, monkeypatch, frequent):
-    from sediment.llm import shingles
-
     pipeline = pytest.importorskip("corpus_pipeline")
     monkeypatch.setattr(shingles, "FREQUENT", frequent)
     rng, rows, line = random.Random(9), [], prose(800, 12)
@@ -411,6 +409,19 @@ def test_near_dedup_finds_all_pairs_of_similarity(spark, monkeypatch, frequent):
     assert {r["doc_id"] for r in pipeline.simhash_dedup(spark, frame(spark, rows), SF).collect()} == {d for d in sets if top[d] == d}
 
 
+def test_stretches_keep_neighbours(spark, monkeypatch):
+    """A crowd cut into overlapping stretches has the pairs of the whole order, and no stretch holds the crowd."""
+    zero = [0] * shingles.LONGS
+    rows = [(7, s, 10, 0, s, zero, 1000) for s in range(1000)] + [(8, s, 10, 0, s, zero, 3) for s in range(2000, 2003)]
+    rows = spark.createDataFrame(rows, "h long, s long, n long, i long, component long, counts array<long>, many long")
+    pairs = {}
+    for width in (64, 1000):
+        monkeypatch.setattr(shingles, "STRETCH", width)
+        pairs[width] = {(r["a"], r["b"]) for r in shingles._beside(rows).collect()}
+    assert pairs[64] == pairs[1000]
+    assert len(pairs[1000]) == 4 * 1000 - 10 + 3
+
+
 def test_pipeline_edges(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
