@@ -1,17 +1,21 @@
 """Brown class-based n-gram scoring.
 
 Words are lower-cased runs between white space; a text is its words and one end. The model's units are
-the most frequent words, the most frequent endings (which stand for all other words, unseen ones
-included), one unit for the rest and one for the end of a text. Exchange clustering moves units
-between classes while the class bigram likelihood of the training corpus grows. Then
+the frequent words, the most frequent endings (which stand for all other words, unseen ones included),
+one unit for the rest and one for the end of a text. Exchange clustering moves units between classes
+while the class bigram likelihood of the training corpus grows, in two steps. A core (the most frequent
+words; endings for the others) is clustered unit by unit from its matrix of bigrams. Then every unit,
+first in the class of its core unit, goes to the class that adds most to the likelihood by its own
+counts of neighbouring classes; Spark gathers those counts and workers choose, units side by side, and
+a sweep that doesn't raise the likelihood is undone. Then
 
     P(w | h) = mix * P(class(w) | class(h)) * P(w | class(w)) + (1 - mix) * (c(w) + 0.5) / (N + 0.5 (V + 1))
 
 with word counts of the whole vocabulary. In each class one outcome stands for all unseen words; its
 pseudo-count is half the number of the class's words seen once, plus one half.
 
-Nothing that grows with the corpus is sent to the driver or broadcast: units are of fixed number, and
-counts of words outside a fixed number of frequent ones are joined. As the factor c(w) + 0.5 stands
+What is sent to the driver or broadcast is of bounded size: units are of bounded number, and counts of
+words outside a bounded number of frequent ones are joined. As the factor c(w) + 0.5 stands
 alone in the product, that join needs no context, only a word and how often a text holds it.
 """
 
@@ -34,7 +38,10 @@ _TABLE = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b
 
 @dataclass(frozen=True)
 class Settings:
-    """``words`` and ``endings`` fix the number of units, ``frequent`` that of words with broadcast counts."""
+    """``words`` and ``endings`` fix the core, ``frequent`` bounds the words that are units of their own.
+
+    ``rounds`` bounds the rounds of the core's clustering, ``sweeps`` those over all units.
+    """
 
     classes: int = 48
     words: int = 1000
@@ -43,6 +50,7 @@ class Settings:
     frequent: int = 131_072
     longest: int = 128
     rounds: int = 6
+    sweeps: int = 1
     mix: float = 0.9
     prior: float = 20.0
     kept: int = 400_000
@@ -82,14 +90,22 @@ def word_counts(train: DataFrame, s: Settings) -> DataFrame:
 
 
 class Units:
-    """Which unit a word belongs to: itself if frequent, else its ending, else the rest; unit 0 is the end."""
+    """Which unit a word belongs to: itself if frequent, else its ending, else the rest; unit 0 is the end.
 
-    def __init__(self, words: list[bytes], endings: list[bytes], ending_bytes: int):
+    ``coarse`` gives each unit's number in the core, where words after the first ``core`` are their endings.
+    """
+
+    def __init__(self, words: list[bytes], endings: list[bytes], ending_bytes: int, core: int):
         self.words = {w: i + 1 for i, w in enumerate(words)}
         self.endings = {e: len(words) + 1 + i for i, e in enumerate(endings)}
         self.tail = ending_bytes
         self.size = len(words) + len(endings) + 2
         self.memo: dict[bytes, int] = {}
+        core = min(core, len(words))
+        self.coarse = np.arange(self.size)
+        self.coarse[len(words) + 1 :] -= len(words) - core
+        for w in words[core:]:
+            self.coarse[self.words[w]] = self.coarse[self.endings.get(w[-ending_bytes:], self.size - 1)]
 
     def __getstate__(self):
         return self.__dict__ | {"memo": {}}
@@ -110,12 +126,15 @@ class Units:
         return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
 
-def unit_pairs(train: DataFrame, units: Units) -> np.ndarray:
-    """The matrix of counts of adjacent units over the training corpus, each text between two ends."""
-    sent, size = train.sparkSession.sparkContext.broadcast(units), units.size
+def class_pairs(train: DataFrame, units: Units, at: np.ndarray, size: int) -> np.ndarray:
+    """The matrix of counts of adjacent classes over the training corpus, each text between two ends.
+
+    ``at`` has each unit's class, of ``size``; with ``units.coarse`` this is the core's matrix of bigrams.
+    """
+    sent = train.sparkSession.sparkContext.broadcast((units, at))
 
     def run(batches):
-        own = sent.value
+        own, cls = sent.value
         held, n = [], 0
 
         def rows(codes: list[np.ndarray]) -> pa.RecordBatch:
@@ -124,8 +143,7 @@ def unit_pairs(train: DataFrame, units: Units) -> np.ndarray:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                chain = np.zeros(len(words := words_of(text)) + 2, np.int64)
-                chain[1:-1] = own.of(words)
+                chain = cls[_chain(own, words_of(text))]
                 held.append(chain[:-1] * size + chain[1:])
                 n += len(chain)
                 if n > 8_000_000:
@@ -140,6 +158,111 @@ def unit_pairs(train: DataFrame, units: Units) -> np.ndarray:
     return counts.reshape(size, size)
 
 
+def unit_contexts(train: DataFrame, units: Units, at: np.ndarray, k: int) -> DataFrame:
+    """Rows (unit, near): what stands next to each unit in the training corpus, ``near`` a list of (code, c).
+
+    Of ``k`` classes, code h counts class h after the unit, k + h class h before it, 2 k the unit after itself.
+    Each task sums in one array over all units and codes, whose size the bounds on units fix.
+    """
+    wide = 2 * k + 1
+    sent = train.sparkSession.sparkContext.broadcast((units, at))
+
+    def run(batches):
+        own, cls = sent.value
+        total = np.zeros(own.size * wide, np.int32)
+        held, n = [], 0
+
+        def add(codes: list[np.ndarray]) -> None:
+            code, c = np.unique(np.concatenate(codes), return_counts=True)
+            total[code] += c.astype(np.int32)
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                chain = _chain(own, words_of(text))
+                first, then = chain[:-1], chain[1:]
+                held += [first * wide + cls[then], then * wide + k + cls[first], first[first == then] * wide + 2 * k]
+                n += 2 * len(chain)
+                if n > 1_000_000:
+                    add(held)
+                    held, n = [], 0
+        if held:
+            add(held)
+        found = np.flatnonzero(total)
+        for i in range(0, len(found), 250_000):
+            some = found[i : i + 250_000]
+            columns = [(some // wide).astype(np.int32), (some % wide).astype(np.int32), total[some].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["unit", "code", "c"])
+
+    counts = _texts(train).mapInArrow(run, "unit int, code int, c long").groupBy("unit", "code").agg(F.sum("c").alias("c"))
+    return counts.groupBy("unit").agg(F.collect_list(F.struct("code", "c")).alias("near"))
+
+
+def _chain(units: Units, words: list[bytes]) -> np.ndarray:
+    """Units of a text's words, between two ends."""
+    chain = np.zeros(len(words) + 2, np.int64)
+    chain[1:-1] = units.of(words)
+    return chain
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(joint: np.ndarray) -> float:
+    """What exchange makes larger, of a matrix of class bigrams."""
+    f = _xlogx
+    return float(f(joint).sum() - f(joint.sum(0)).sum() - f(joint.sum(1)).sum())
+
+
+def gains(joint: np.ndarray, r: np.ndarray, c: np.ndarray, own: float) -> np.ndarray:
+    """What a unit adds to the likelihood in each class; ``joint`` is without the unit.
+
+    ``r`` and ``c`` count the classes after and before the unit without itself, ``own`` the unit after itself.
+    Class 0, the end's, takes no other unit.
+    """
+    f = _xlogx
+    rows, cols = joint.sum(1) + c, joint.sum(0) + r
+    after, before = r.nonzero()[0], c.nonzero()[0]
+    right, left = joint[:, after], joint[before]
+    gain = (f(right + r[after]) - f(right)).sum(1) + (f(left + c[before, None]) - f(left)).sum(0)
+    diag = joint.diagonal()
+    gain += f(diag + r + c + own) - f(diag + r) - f(diag + c) + f(diag)
+    gain -= f(rows + r.sum() + own) - f(rows) + f(cols + c.sum() + own) - f(cols)
+    gain[0] = -np.inf
+    return gain
+
+
+def sweep(contexts: DataFrame, at: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The class that each unit gains most by, all against the same class bigrams; at most one row a unit is collected."""
+    k = len(joint)
+    sent = contexts.sparkSession.sparkContext.broadcast((at, joint))
+
+    def run(batches):
+        cls, whole = sent.value
+        for batch in batches:
+            units, best = batch.column(0).to_pylist(), []
+            for u, near in zip(units, batch.column(1).to_pylist(), strict=True):
+                n = np.zeros(2 * k + 1)
+                for x in near:
+                    n[x["code"]] = x["c"]
+                a, r, c, own = cls[u], n[:k], n[k : 2 * k], n[2 * k]
+                r[a] -= own
+                c[a] -= own
+                rest = whole.copy()
+                rest[a] -= r
+                rest[:, a] -= c
+                rest[a, a] -= own
+                gain = gains(rest, r, c, own)
+                b = int(np.argmax(gain))
+                best.append(b if gain[b] > gain[a] + 1e-9 else int(a))
+            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(best, pa.int32())], names=["unit", "best"])
+
+    found = contexts.where("unit > 0").select("unit", "near").mapInArrow(run, "unit int, best int").toArrow()
+    out = at.copy()
+    out[found["unit"].to_numpy()] = found["best"].to_numpy()
+    return out
+
+
 def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
     """Class of each unit by exchange clustering; unit 0, the end, keeps a class of its own.
 
@@ -159,9 +282,6 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
     joint = member.T @ pairs @ member
     after, before = pairs @ member, (member.T @ pairs).T
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-300))
-
     for _ in range(rounds):
         moved = 0
         for u in order:
@@ -174,13 +294,7 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
             joint[a] -= r
             joint[:, a] -= c
             joint[a, a] -= own
-            rows, cols = joint.sum(1) + c, joint.sum(0) + r
-            gain = (f(joint + r) - f(joint)).sum(1) + (f(joint + c[:, None]) - f(joint)).sum(0)
-            d = np.arange(k)
-            diag = joint[d, d]
-            gain += f(diag + r + c + own) - f(diag + r) - f(diag + c) + f(diag)
-            gain -= f(rows + r.sum() + own) - f(rows) + f(cols + c.sum() + own) - f(cols)
-            gain[0] = -np.inf
+            gain = gains(joint, r, c, own)
             b = int(np.argmax(gain))
             if gain[b] <= gain[a] + 1e-9:
                 b = a
@@ -201,11 +315,10 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What scoring needs on every executor; all of fixed size."""
+    """What scoring needs on every executor; all of bounded size."""
 
     units: Units
     at: np.ndarray
-    frequent: dict[bytes, int]
     log_count: np.ndarray
     seen: np.ndarray
     unseen: np.ndarray
@@ -222,18 +335,23 @@ def train_model(train: DataFrame, s: Settings) -> tuple[Model, DataFrame]:
     short = counts.where((F.length("word") > 0) & (F.length("word") <= s.longest))
     top = short.orderBy(F.desc("c"), "word").limit(s.frequent).toArrow()
     words, c = [bytes(w) for w in top["word"].to_pylist()], top["c"].to_numpy().astype(float)
-    own = words[: s.words]
-    named = train.sparkSession.createDataFrame([(bytearray(w),) for w in own] or [(bytearray(b""),)], "word binary")
+    core = words[: s.words]
+    named = train.sparkSession.createDataFrame([(bytearray(w),) for w in core] or [(bytearray(b""),)], "word binary")
     others = counts.where(F.length("word") > 0).join(F.broadcast(named), "word", "left_anti")
     ending = F.expr(f"substring(word, greatest(1, length(word) - {s.ending_bytes - 1}))")
     endings = others.groupBy(ending.alias("e")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(s.endings).collect()
-    units = Units(own, [bytes(r["e"]) for r in endings], s.ending_bytes)
-    pairs = unit_pairs(train, units)
+    units = Units(words, [bytes(r["e"]) for r in endings], s.ending_bytes, s.words)
+    pairs = class_pairs(train, units, units.coarse, int(units.coarse.max()) + 1)
     at = exchange(pairs, s.classes, s.rounds)
     k = int(at.max()) + 1
-    member = np.zeros((units.size, k))
-    member[np.arange(units.size), at] = 1
-    joint = member.T @ pairs @ member
+    member = np.eye(k)[at]
+    joint, at = member.T @ pairs @ member, at[units.coarse]
+    for _ in range(s.sweeps if k > 2 else 0):
+        moved = sweep(unit_contexts(train, units, at, k), at, joint)
+        then = class_pairs(train, units, moved, k)
+        if likelihood(then) <= likelihood(joint):
+            break
+        at, joint = moved, then
     weight = np.array(_class_sizes(counts, units, at, k))
     n_g, v_g, once = weight.T
     unseen = 0.5 * once + 0.5
@@ -245,7 +363,7 @@ def train_model(train: DataFrame, s: Settings) -> tuple[Model, DataFrame]:
     lost = np.log10(s.mix * step * unseen / z_g + (1 - s.mix) * 0.5 / z)
     ends = counts.where(F.length("word") == 0).first()
     tail = counts.where(F.length("word") > 0).join(F.broadcast(train.sparkSession.createDataFrame(pa.table({"word": pa.array(words, pa.binary())}))), "word", "left_anti") if words else counts.where(F.lit(False))
-    model = Model(units, at, {w: i for i, w in enumerate(words)}, np.log10(c + 0.5), seen, lost, float(ends["c"]) if ends else 0.0, total, types)
+    model = Model(units, at, np.log10(c + 0.5), seen, lost, float(ends["c"]) if ends else 0.0, total, types)
     return model, tail
 
 
@@ -293,11 +411,10 @@ def _scored(docs: DataFrame, model: Model, s: Settings) -> DataFrame:
             for text, doc_id, out in zip(texts, ids, held, strict=True):
                 rid += 1
                 words = words_of(text)
-                chain = np.zeros(len(words) + 2, np.int64)
-                chain[1:-1] = m.at[m.units.of(words)]
+                units = _chain(m.units, words)
+                chain, place = m.at[units], units[1:-1] - 1
                 pair = chain[:-1] * cut + chain[1:]
-                place = np.fromiter((m.frequent.get(w, -1) for w in words), np.int64, len(words))
-                hot = place >= 0
+                hot = place < len(m.log_count)
                 logs = float(m.log_count[place[hot]].sum()) + log_end
                 score = float(seen[pair].sum()) + logs
                 if not m.end:

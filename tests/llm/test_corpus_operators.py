@@ -91,10 +91,51 @@ def test_exchange_ends_where_no_move_gains():
             assert objective(pairs, moved, 5) <= best + 1e-6
 
 
+def brute_contexts(texts, units, at, k):
+    """Unit -> counts of classes after it, of classes before it, and of itself after it."""
+    out = {}
+    for t in texts:
+        chain = [0, *units.of([w.encode() for w in words(t)]).tolist(), 0]
+        for a, b in zip(chain, chain[1:]):
+            out.setdefault(a, Counter())[int(at[b])] += 1
+            out.setdefault(b, Counter())[k + int(at[a])] += 1
+            if a == b:
+                out[a][2 * k] += 1
+    return out
+
+
+def test_brown_sweep_moves_each_word_to_its_best_class(spark):
+    """Against recounted likelihoods: words that are endings in the core are classed by their own neighbours."""
+    rng = random.Random(3)
+    sides = [[f"{c}{i}zzzz" for i in range(12)] for c in "ab"]
+    texts = [" ".join(rng.choice(sides[(i + s) % 2]) for i in range(40)) for s in range(30)]
+    train = frame(spark, [*enumerate(texts), (98, None), (99, "")])
+    every = sorted({w for t in texts for w in t.split()})
+    units = brown.Units([w.encode() for w in every], [b"zzzz"], 4, 6)
+    pairs = brown.class_pairs(train, units, units.coarse, int(units.coarse.max()) + 1)
+    core = brown.exchange(pairs, 5, 20)
+    k = int(core.max()) + 1
+    at, joint = core[units.coarse], np.eye(k)[core].T @ pairs @ np.eye(k)[core]
+    contexts = brown.unit_contexts(train, units, at, k)
+    got = {r["unit"]: Counter({x["code"]: x["c"] for x in r["near"]}) for r in contexts.collect()}
+    assert got == brute_contexts([*texts, "", ""], units, at, k)
+    moved = brown.sweep(contexts, at, joint)
+    fine = brown.class_pairs(train, units, np.arange(units.size), units.size)
+    assert abs(brown.likelihood(joint) - objective(fine, at, k)) < 1e-6
+    for u in range(1, units.size - 2):
+        tried = []
+        for g in range(1, k):
+            other = at.copy()
+            other[u] = g
+            tried.append(objective(fine, other, k))
+        assert max(tried) - tried[moved[u] - 1] < 1e-6
+    assert moved[0] == 0 and brown.likelihood(brown.class_pairs(train, units, moved, k)) > brown.likelihood(joint)
+
+
 def test_brown_probabilities_add_up(spark):
     """Over all words and one unseen outcome a class, each history's probabilities sum to one."""
     rows = [(i, prose(i % 5, 40)) for i in range(30)]
-    s = brown.Settings(classes=5, words=30, endings=10)
+    s = brown.Settings(classes=5, words=30, endings=10, sweeps=2)
     model, _ = brown.train_model(frame(spark, rows), s)
     c = Counter(w for _, t in rows for w in [*words(t), ""])
     z = model.total + 0.5 * (model.types + 1)
