@@ -4,10 +4,11 @@ Words are lower-cased runs between white space; a text is its words and one end.
 the frequent words, the most frequent endings (which stand for all other words, unseen ones included),
 one unit for the rest and one for the end of a text. Exchange clustering moves units between classes
 while the class bigram likelihood of the training corpus grows, in two steps. A core (the most frequent
-words; endings for the others) is clustered unit by unit from its matrix of bigrams. Then every unit,
-first in the class of its core unit, goes to the class that adds most to the likelihood by its own
-counts of neighbouring classes; Spark gathers those counts and workers choose, units side by side, and
-a sweep that doesn't raise the likelihood is undone. Then
+words; endings for the others) is clustered unit by unit from its matrix of bigrams. Then every word
+seen twice or more, first in the class of its core unit, goes to the class that adds most to the
+likelihood by its own counts of neighbouring classes; Spark gathers those counts and workers choose,
+words side by side, and a sweep that doesn't raise the likelihood is undone. Rarer words keep the class
+of their ending, as unseen words do: the neighbours of one token tell little of a word. Then
 
     P(w | h) = mix * P(class(w) | class(h)) * P(w | class(w)) + (1 - mix) * (c(w) + 0.5) / (N + 0.5 (V + 1))
 
@@ -40,7 +41,7 @@ _TABLE = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b
 class Settings:
     """``words`` and ``endings`` fix the core, ``frequent`` bounds the words that are units of their own.
 
-    ``rounds`` bounds the rounds of the core's clustering, ``sweeps`` those over all units.
+    ``rounds`` bounds the rounds of the core's clustering, ``sweeps`` those over all words of ``least`` tokens or more.
     """
 
     classes: int = 48
@@ -51,6 +52,7 @@ class Settings:
     longest: int = 128
     rounds: int = 6
     sweeps: int = 1
+    least: int = 2
     mix: float = 0.9
     prior: float = 20.0
     kept: int = 400_000
@@ -158,18 +160,18 @@ def class_pairs(train: DataFrame, units: Units, at: np.ndarray, size: int) -> np
     return counts.reshape(size, size)
 
 
-def unit_contexts(train: DataFrame, units: Units, at: np.ndarray, k: int) -> DataFrame:
-    """Rows (unit, near): what stands next to each unit in the training corpus, ``near`` a list of (code, c).
+def word_contexts(train: DataFrame, units: Units, at: np.ndarray, k: int, words: int) -> DataFrame:
+    """Rows (unit, near): what stands next to units 1 to ``words`` in the training corpus, ``near`` a list of (code, c).
 
     Of ``k`` classes, code h counts class h after the unit, k + h class h before it, 2 k the unit after itself.
-    Each task sums in one array over all units and codes, whose size the bounds on units fix.
+    Each task sums in one array over all units and codes, whose size the bound on words fixes.
     """
     wide = 2 * k + 1
     sent = train.sparkSession.sparkContext.broadcast((units, at))
 
     def run(batches):
         own, cls = sent.value
-        total = np.zeros(own.size * wide, np.int32)
+        total = np.zeros((words + 1) * wide, np.int32)
         held, n = [], 0
 
         def add(codes: list[np.ndarray]) -> None:
@@ -179,9 +181,12 @@ def unit_contexts(train: DataFrame, units: Units, at: np.ndarray, k: int) -> Dat
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 chain = _chain(own, words_of(text))
-                first, then = chain[:-1], chain[1:]
-                held += [first * wide + cls[then], then * wide + k + cls[first], first[first == then] * wide + 2 * k]
-                n += 2 * len(chain)
+                asked = (chain > 0) & (chain <= words)
+                near = cls[chain]
+                i, j = np.flatnonzero(asked[:-1]), np.flatnonzero(asked[1:])
+                twice = i[chain[i] == chain[i + 1]]
+                held += [chain[i] * wide + near[i + 1], chain[j + 1] * wide + k + near[j], chain[twice] * wide + 2 * k]
+                n += len(i) + len(j)
                 if n > 1_000_000:
                     add(held)
                     held, n = [], 0
@@ -257,7 +262,7 @@ def sweep(contexts: DataFrame, at: np.ndarray, joint: np.ndarray) -> np.ndarray:
                 best.append(b if gain[b] > gain[a] + 1e-9 else int(a))
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(best, pa.int32())], names=["unit", "best"])
 
-    found = contexts.where("unit > 0").select("unit", "near").mapInArrow(run, "unit int, best int").toArrow()
+    found = contexts.select("unit", "near").mapInArrow(run, "unit int, best int").toArrow()
     out = at.copy()
     out[found["unit"].to_numpy()] = found["best"].to_numpy()
     return out
@@ -346,8 +351,9 @@ def train_model(train: DataFrame, s: Settings) -> tuple[Model, DataFrame]:
     k = int(at.max()) + 1
     member = np.eye(k)[at]
     joint, at = member.T @ pairs @ member, at[units.coarse]
-    for _ in range(s.sweeps if k > 2 else 0):
-        moved = sweep(unit_contexts(train, units, at, k), at, joint)
+    clustered = int((c >= s.least).sum())
+    for _ in range(s.sweeps if k > 2 and clustered else 0):
+        moved = sweep(word_contexts(train, units, at, k, clustered), at, joint)
         then = class_pairs(train, units, moved, k)
         if likelihood(then) <= likelihood(joint):
             break
