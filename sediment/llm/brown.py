@@ -128,77 +128,79 @@ class Units:
         return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
 
-def class_pairs(train: DataFrame, units: Units, at: np.ndarray, size: int) -> np.ndarray:
-    """The matrix of counts of adjacent classes over the training corpus, each text between two ends.
+def chains(train: DataFrame, units: Units) -> DataFrame:
+    """Rows (chain binary), stored: the units of each training text between two ends, 32-bit little-endian."""
+    sent = train.sparkSession.sparkContext.broadcast(units)
+
+    def run(batches):
+        own = sent.value
+        for batch in batches:
+            found = [_chain(own, words_of(text)).astype("<i4").tobytes() for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["chain"])
+
+    return stored(_texts(train).mapInArrow(run, "chain binary"), "chains")
+
+
+def _adjacent(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Each unit of a batch of chains and the one after it, none across chains."""
+    found = batch.column(0).to_pylist()
+    whole = np.frombuffer(b"".join(found), "<i4").astype(np.int64)
+    inside = np.ones(max(len(whole) - 1, 0), bool)
+    inside[np.cumsum([len(x) // 4 for x in found])[:-1] - 1] = False
+    return whole[:-1][inside], whole[1:][inside]
+
+
+def _count(total: np.ndarray, code: np.ndarray) -> None:
+    """Add to each place of ``total`` how often ``code`` has it."""
+    place, c = np.unique(code, return_counts=True)
+    total[place] += c.astype(total.dtype)
+
+
+def class_pairs(held: DataFrame, at: np.ndarray, size: int) -> np.ndarray:
+    """The matrix of counts of adjacent classes over all chains.
 
     ``at`` has each unit's class, of ``size``; with ``units.coarse`` this is the core's matrix of bigrams.
     """
-    sent = train.sparkSession.sparkContext.broadcast((units, at))
+    sent = held.sparkSession.sparkContext.broadcast(at)
 
     def run(batches):
-        own, cls = sent.value
-        held, n = [], 0
-
-        def rows(codes: list[np.ndarray]) -> pa.RecordBatch:
-            code, c = np.unique(np.concatenate(codes), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64))], names=["code", "c"])
-
+        cls, total = sent.value, np.zeros(size * size, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                chain = cls[_chain(own, words_of(text))]
-                held.append(chain[:-1] * size + chain[1:])
-                n += len(chain)
-                if n > 8_000_000:
-                    yield rows(held)
-                    held, n = [], 0
-        if held:
-            yield rows(held)
-
-    found = _texts(train).mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).toArrow()
+            first, then = _adjacent(batch)
+            _count(total, cls[first] * size + cls[then])
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "c"])
+
+    found = held.mapInArrow(run, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).toArrow()
     counts = np.zeros(size * size)
     counts[found["code"].to_numpy()] = found["c"].to_numpy()
     return counts.reshape(size, size)
 
 
-def word_contexts(train: DataFrame, units: Units, at: np.ndarray, k: int, words: int) -> DataFrame:
-    """Rows (unit, near): what stands next to units 1 to ``words`` in the training corpus, ``near`` a list of (code, c).
+def word_contexts(held: DataFrame, at: np.ndarray, k: int, words: int) -> DataFrame:
+    """Rows (unit, near): what stands next to units 1 to ``words`` in all chains, ``near`` a list of (code, c).
 
     Of ``k`` classes, code h counts class h after the unit, k + h class h before it, 2 k the unit after itself.
     Each task sums in one array over all units and codes, whose size the bound on words fixes.
     """
     wide = 2 * k + 1
-    sent = train.sparkSession.sparkContext.broadcast((units, at))
+    sent = held.sparkSession.sparkContext.broadcast(at)
 
     def run(batches):
-        own, cls = sent.value
-        total = np.zeros((words + 1) * wide, np.int32)
-        held, n = [], 0
-
-        def add(codes: list[np.ndarray]) -> None:
-            code, c = np.unique(np.concatenate(codes), return_counts=True)
-            total[code] += c.astype(np.int32)
-
+        cls, total = sent.value, np.zeros((words + 1) * wide, np.int32)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                chain = _chain(own, words_of(text))
-                asked = (chain > 0) & (chain <= words)
-                near = cls[chain]
-                i, j = np.flatnonzero(asked[:-1]), np.flatnonzero(asked[1:])
-                twice = i[chain[i] == chain[i + 1]]
-                held += [chain[i] * wide + near[i + 1], chain[j + 1] * wide + k + near[j], chain[twice] * wide + 2 * k]
-                n += len(i) + len(j)
-                if n > 1_000_000:
-                    add(held)
-                    held, n = [], 0
-        if held:
-            add(held)
+            first, then = _adjacent(batch)
+            left, right = (first > 0) & (first <= words), (then > 0) & (then <= words)
+            twice = first[left & (first == then)]
+            for code in (first[left] * wide + cls[then[left]], then[right] * wide + k + cls[first[right]], twice * wide + 2 * k):
+                _count(total, code)
         found = np.flatnonzero(total)
         for i in range(0, len(found), 250_000):
             some = found[i : i + 250_000]
             columns = [(some // wide).astype(np.int32), (some % wide).astype(np.int32), total[some].astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["unit", "code", "c"])
 
-    counts = _texts(train).mapInArrow(run, "unit int, code int, c long").groupBy("unit", "code").agg(F.sum("c").alias("c"))
+    counts = held.mapInArrow(run, "unit int, code int, c long").groupBy("unit", "code").agg(F.sum("c").alias("c"))
     return counts.groupBy("unit").agg(F.collect_list(F.struct("code", "c")).alias("near"))
 
 
@@ -346,15 +348,16 @@ def train_model(train: DataFrame, s: Settings) -> tuple[Model, DataFrame]:
     ending = F.expr(f"substring(word, greatest(1, length(word) - {s.ending_bytes - 1}))")
     endings = others.groupBy(ending.alias("e")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "e").limit(s.endings).collect()
     units = Units(words, [bytes(r["e"]) for r in endings], s.ending_bytes, s.words)
-    pairs = class_pairs(train, units, units.coarse, int(units.coarse.max()) + 1)
+    held = chains(train, units)
+    pairs = class_pairs(held, units.coarse, int(units.coarse.max()) + 1)
     at = exchange(pairs, s.classes, s.rounds)
     k = int(at.max()) + 1
     member = np.eye(k)[at]
     joint, at = member.T @ pairs @ member, at[units.coarse]
     clustered = int((c >= s.least).sum())
     for _ in range(s.sweeps if k > 2 and clustered else 0):
-        moved = sweep(word_contexts(train, units, at, k, clustered), at, joint)
-        then = class_pairs(train, units, moved, k)
+        moved = sweep(word_contexts(held, at, k, clustered), at, joint)
+        then = class_pairs(held, moved, k)
         if likelihood(then) <= likelihood(joint):
             break
         at, joint = moved, then

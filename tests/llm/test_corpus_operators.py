@@ -112,16 +112,17 @@ def test_brown_sweep_moves_each_word_to_its_best_class(spark):
     train = frame(spark, [*enumerate(texts), (98, None), (99, "")])
     every = sorted({w for t in texts for w in t.split()})
     units = brown.Units([w.encode() for w in every], [b"zzzz"], 4, 6)
-    pairs = brown.class_pairs(train, units, units.coarse, int(units.coarse.max()) + 1)
+    held = brown.chains(train, units)
+    pairs = brown.class_pairs(held, units.coarse, int(units.coarse.max()) + 1)
     core = brown.exchange(pairs, 5, 20)
     k = int(core.max()) + 1
     at, joint = core[units.coarse], np.eye(k)[core].T @ pairs @ np.eye(k)[core]
     n = len(every) - 3
-    contexts = brown.word_contexts(train, units, at, k, n)
+    contexts = brown.word_contexts(held, at, k, n)
     got = {r["unit"]: Counter({x["code"]: x["c"] for x in r["near"]}) for r in contexts.collect()}
     assert got == brute_contexts([*texts, "", ""], units, at, k, n)
     moved = brown.sweep(contexts, at, joint)
-    fine = brown.class_pairs(train, units, np.arange(units.size), units.size)
+    fine = brown.class_pairs(held, np.arange(units.size), units.size)
     assert abs(brown.likelihood(joint) - objective(fine, at, k)) < 1e-6
     for u in range(1, n + 1):
         tried = []
@@ -130,7 +131,7 @@ def test_brown_sweep_moves_each_word_to_its_best_class(spark):
             other[u] = g
             tried.append(objective(fine, other, k))
         assert max(tried) - tried[moved[u] - 1] < 1e-6
-    assert moved[0] == 0 and (moved[n + 1 :] == at[n + 1 :]).all() and brown.likelihood(brown.class_pairs(train, units, moved, k)) > brown.likelihood(joint)
+    assert moved[0] == 0 and (moved[n + 1 :] == at[n + 1 :]).all() and brown.likelihood(brown.class_pairs(held, moved, k)) > brown.likelihood(joint)
 
 
 def test_brown_probabilities_add_up(spark):
