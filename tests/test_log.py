@@ -436,3 +436,19 @@ def test_chains_of_any_number_and_depth(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     with pytest.raises(BranchNotFound, match="own ancestor"):
         chains(spark.createDataFrame([("s", "a", "b", 0), ("s", "b", "c", 0), ("s", "c", "b", 0)], schema)).collect()
+
+
+def test_lineages_of_many_branches(spark):
+    """Histories of all branches where the pointers are more than a recursive query may return."""
+    from sediment.operators.branches import lineages
+
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    table = spark.createDataFrame([(f"s/{i}", b, p, v) for i in range(100) for b, p, v in (("b1", "main", 0), ("b2", "b1", 2))], "stream_id string, id string, parent_id string, parent_version long")
+    events = spark.createDataFrame([("s/3", b, v, k + v) for b, k in (("main", 0), ("b1", 10)) for v in range(4)], "stream_id string, branch string, version long, n long")
+    try:
+        spark.conf.set(limit, "200")
+        got = lineages(events, table).select("leaf", "branch", "n").collect()
+    finally:
+        spark.conf.set(limit, before)
+    assert sorted(map(tuple, got)) == [("b1", "b1", n) for n in range(10, 14)] + [("b1", "main", 0)] + [("b2", "b1", n) for n in range(10, 13)] + [("b2", "main", 0)]
