@@ -20,7 +20,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of exact and near copies (five-word shingles, similarity 0.8 or more)."""
+    """The document of least id of each group of exact and near copies (five-word shingles, similarity 0.8 or more).
+
+    Candidates by SimHash fingerprints first, then by shared shingles, as most near copies differ in more bits than
+    the grids reach; all are verified on whole sets.
+    """
     return shingles.distinct_documents(docs, shingle=5)
 
 

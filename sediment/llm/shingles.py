@@ -7,13 +7,15 @@ is never more than the number of hashes in which the sets differ. A short vector
 that grows with the set, in two widths so that sets of like size have one in common, is looked up for
 pairs. Equal sets are one node from the start.
 
-Candidates come from prefixes. Shingles are sorted in one global order, frequent ones last; of two similar
+Candidates come first from SimHash fingerprints: those within two bits, by the grids over segment popcounts
+of ``simhash``, verified like all others. Texts of similarity 4/5 mostly differ in more bits than a lossless
+grid of fingerprints reaches; the rest of the candidates come from prefixes. Shingles are sorted in one global order, frequent ones last; of two similar
 sets each has one of its ``n - ceil(4n/5) + 1`` first shingles in common with the other. Any order loses
 nothing; frequencies, counted roughly and for a fixed number of shingles, only keep crowds small. Prefixes
 are shuffled once, and what no other set shares goes no further.
 
 Sets that share a prefix shingle are held against sizes, the places of the shingle and the Manhattan
-bound; what is left is verified on whole sets. First each set meets the least set and the one before it
+bound; what is left is verified on whole sets. Sets that fingerprints linked aren't compared again. First each set meets the least set and the one before it
 of each of its shingles; what is linked by then needs no comparison inside. Then sets of different
 components meet their neighbours in an order by chance, which links most of a crowd of near copies at a
 cost in proportion to its rows. Last all pairs of components still different meet, with the bounds as
@@ -31,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sediment.llm.common import arrow_map, components, discard, prepare, stored
-from sediment.llm.simhash import WORDS, one_of_each
+from sediment.llm.simhash import WORDS, fingerprint, links, one_of_each
 from sediment.storage import few
 
 #: Frequent shingles that the order knows, and occurrences in one task from which one is counted.
@@ -108,7 +110,7 @@ def prefix(own: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows (__id, __row, s, n, counts, wide, half, first): a name of each text's set, its size, segment counts and prefix."""
+    """Rows (__id, __row, fp, s, n, counts, wide, half, first): each text's fingerprint, a name of its set, the set's size, segment counts and prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
 
     def run(cols: dict, n: int) -> dict:
@@ -119,6 +121,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
         return {
             "__id": cols["__id"],
             "__row": cols["__row"],
+            "fp": [fingerprint(t or b"", shingle) for t in cols["text"]],
             "s": np.array([xxhash.xxh64_intdigest(x.tobytes(), 3) for x in sets], np.uint64).view(np.int64),
             "n": [len(x) for x in sets],
             "counts": [segment_counts(x, LONGS) for x in sets],
@@ -127,7 +130,20 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
             "first": [prefix(x, *sent.value) for x in sets],
         }
 
-    return arrow_map(docs.select("__id", "__row", "text"), run, "__id long,__row long,s long,n long,counts array<long>,wide array<long>,half array<long>,first array<long>", binary=("text",))
+    return arrow_map(docs.select("__id", "__row", "text"), run, "__id long,__row long,fp long,s long,n long,counts array<long>,wide array<long>,half array<long>,first array<long>", binary=("text",))
+
+
+def _by_fingerprint(made: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of sets from rows (fp, s): of equal fingerprints with the least set, of linked ones the least sets of both."""
+    prints = stored(made.select("fp", "s").distinct(), "prints")
+    least = stored(prints.groupBy("fp").agg(F.min("s").alias("least")), "fingerprints")
+    near = stored(links(least.select("fp")), "links")
+    alike = prints.join(least, "fp").select(F.col("least").alias("x"), F.col("s").alias("y"))
+    ends = near.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    out = stored(alike.union(ends.select("x", "y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "candidates")
+    for df in (prints, least, near):
+        discard(df)
+    return out
 
 
 _SHARED = ("h", "s", "n", "i", "hub", "prior")
@@ -269,12 +285,17 @@ def distinct_documents(docs: DataFrame, shingle: int = 5) -> DataFrame:
     made = stored(_sets(own, shingle), "sets")
     same = [F.any_value(c).alias(c) for c in ("n", "counts", "wide", "half")]
     sets = stored(made.groupBy("s").agg(F.min(F.struct("__id", "__row")).alias("d"), *same).select("s", "d.*", "n", "counts", "wide", "half"), "least")
+    candidates = _by_fingerprint(made)
+    end = F.struct("n", "counts", "component")
+    alike = _verified(candidates, own, sets, shingle)
+    label = stored(components(alike), "labels")
+    known = stored(sets.select("s", "n", "counts").join(label.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s")), "known")
     shared = stored(_shared(made.select("s", "n", F.posexplode("first").alias("i", "h")).withColumn("i", F.col("i").cast("long"))), "shared")
     stars = shared.select(F.explode(F.array("hub", "prior")).alias("a"), F.col("s").alias("b")).where("a IS NOT NULL").distinct()
-    end = F.struct("n", "counts")
-    ends = stars.join(sets.select(F.col("s").alias("a"), end.alias("x")), "a").join(sets.select(F.col("s").alias("b"), end.alias("y")), "b")
+    ends = stars.join(known.select(F.col("s").alias("a"), end.alias("x")), "a").join(known.select(F.col("s").alias("b"), end.alias("y")), "b")
     bound = _bound(*([F.col(f"{r}.n"), F.col(f"{r}.counts")] for r in "xy"))
-    found = _verified(ends.where(bound).select("a", "b"), own, sets, shingle)
+    starred = _verified(ends.where((F.col("x.component") != F.col("y.component")) & bound).select("a", "b"), own, sets, shingle)
+    found = alike.union(starred)
     rows = _open(shared, found, sets)
     more = _verified(_beside(rows), own, sets, shingle)
     left = _open(rows, found.union(more), None)
@@ -284,6 +305,6 @@ def distinct_documents(docs: DataFrame, shingle: int = 5) -> DataFrame:
     whole = stored(components(found.union(more).union(last)), "whole")
     marked = made.select("__id", "__row", "s").join(whole.withColumnRenamed("node", "s"), "s", "left")
     out = one_of_each(docs, own, marked.select("__id", "__row", F.coalesce("component", "s").alias("component_id")))
-    for df in (made, sets, shared, found, rows, more, left, last, whole):
+    for df in (made, sets, candidates, alike, label, known, shared, starred, rows, more, left, last, whole):
         discard(df)
     return out
