@@ -475,3 +475,24 @@ def test_pipeline_edges(spark, tmp_path):
         for k, (_, stage) in enumerate(pipeline.STAGES):
             docs = common.stored(stage(spark, docs, str(tmp_path)), f"e{k}")
         assert docs.count() == (4 if case else 0)
+
+
+def test_near_dedup_starts_from_fingerprints(spark, monkeypatch):
+    """The pipeline's stage searches the fingerprints of all its texts, and proposes what all pairs within two bits connect."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from pyspark.sql import functions as F
+
+    seen, real = [], shingles.links
+    monkeypatch.setattr(shingles, "links", lambda fps: seen.append(sorted(r["fp"] for r in fps.collect())) or real(fps))
+    base = prose(77, 400).split()
+    rows = [(0, None), (1, ""), (2, "a b"), (3, " ".join(base)), (4, " ".join([*base, "z"])), (5, " ".join([*base, "y"])), (6, " ".join(base * 2)), (7, prose(78, 60))]
+    docs = frame(spark, rows)
+    assert {r["doc_id"] for r in pipeline.simhash_dedup(spark, docs, SF).collect()} == {0, 2, 3, 7}
+    prints = {d: simhash.fingerprint((t or "").encode(), 5) for d, t in rows}
+    assert seen == [sorted(set(prints.values()))]
+    made = shingles._sets(docs.withColumns({"__id": F.col("doc_id"), "__row": F.col("doc_id")}), 5)
+    name = {r["__id"]: r["s"] for r in made.collect()}
+    near = [(name[a], name[b]) for a in prints for b in prints if bin((prints[a] ^ prints[b]) & (2**64 - 1)).count("1") <= 2]
+    assert any(a != b for a, b in near)
+    found = [(r["a"], r["b"]) for r in shingles._by_fingerprint(made).collect()]
+    assert closure(name.values(), found) == closure(name.values(), near)
