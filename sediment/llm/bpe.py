@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import arrow_map
+from sediment.llm.common import KEPT, arrow_map
 
 #: Fragments longer than this are encoded each time they occur; the rest are remembered.
 LONGEST_KEPT = 64
@@ -116,18 +116,16 @@ class ForcedBoundaryBpe:
         return raw
 
 
-_MADE: dict[str, ForcedBoundaryBpe] = {}
-
-
 def _coder(spec: str) -> ForcedBoundaryBpe:
-    """One coder a worker process and vocabulary."""
+    """One coder a worker process and vocabulary, until the worker turns to another operator."""
+    made = KEPT.setdefault("bpe", {})
     key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _MADE:
+    if key not in made:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _MADE[key] = ForcedBoundaryBpe(spec)
-    return _MADE[key]
+        made[key] = ForcedBoundaryBpe(spec)
+    return made[key]
 
 
 def bpe_encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", with_text: bool = True, with_ids: bool = False) -> DataFrame:
@@ -155,4 +153,4 @@ def bpe_encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     shape = "ids binary,decoded string" if with_text else "ids binary," * with_ids + "ids_sha256 string,decoded_sha256 string"
     kind = docs.schema[key].dataType.simpleString().replace("bigint", "long")
-    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"{key} {kind},n_tokens long,{shape}", binary=("text",))
+    return arrow_map(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"{key} {kind},n_tokens long,{shape}", binary=("text",), owner="bpe")

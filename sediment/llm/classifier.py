@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import arrow_map, fold, prepare
+from sediment.llm.common import arrow_map, fold, prepare, tidy
 
 #: Stands for a token that equals the one before it.
 REPEATED = 1
@@ -154,4 +154,4 @@ def accepted(docs: DataFrame, weights: np.ndarray, bias: float, s: Settings = Se
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     prepare(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,10 +31,41 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[dict[str, list], int], dict[str, list]], schema: str, binary: tuple[str, ...] = ()) -> DataFrame:
+#: What operators keep in a worker process from task to task, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def forget(owner: str = "") -> None:
+    """Drop what operators other than ``owner`` keep in this worker; freed memory goes back to the system."""
+    others = [k for k in KEPT if k != owner]
+    for k in others:
+        KEPT.pop(k).clear()
+    if others:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, so that a worker, which lives on, holds no more than ``owner`` keeps before and after.
+
+    Workers count to their executor's memory while they are idle too.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(owner)
+        yield from run(batches)
+        forget(owner)
+
+    return task
+
+
+def arrow_map(df: DataFrame, fn: Callable[[dict[str, list], int], dict[str, list]], schema: str, binary: tuple[str, ...] = (), owner: str = "") -> DataFrame:
     """Apply ``fn(columns, rows) -> columns`` to each Arrow batch of ``df``.
 
-    Columns named in ``binary`` arrive as bytes of their UTF-8 text, the rest as Python values.
+    Columns named in ``binary`` arrive as bytes of their UTF-8 text, the rest as Python values. What
+    ``owner`` has in ``KEPT`` stays from task to task.
     """
     prepare(df.sparkSession)
     names = [x.split()[0] for x in schema.split(",")]
@@ -46,7 +79,7 @@ def arrow_map(df: DataFrame, fn: Callable[[dict[str, list], int], dict[str, list
             yield pa.RecordBatch.from_arrays([pa.array(out[n], _KINDS[k]) for n, k in zip(names, types, strict=True)], names=names)
 
     types = [x.split()[1] for x in schema.split(",")]
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, owner), schema)
 
 
 #: Arrow types of the schemas given to ``arrow_map``.

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.llm.common import LOWER, UPPER, arrow_map, prepare
+from sediment.llm.common import LOWER, UPPER, arrow_map, prepare, tidy
 
 #: Words of items that one automaton may hold; more items go to further automata.
 BLOCK_WORDS = 1_000_000
@@ -292,4 +292,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, limit
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
     prepare(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -17,7 +17,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from sediment.llm.common import arrow_map, prepare
+from sediment.llm.common import arrow_map, prepare, tidy
 
 #: Kinds in the order of ties, with their patterns and least lengths (of group 2 or of the match).
 #: Fixed values.
@@ -189,4 +189,4 @@ def redact(docs: DataFrame, least: float = 0.7, around: int = 2048, mark: str =
                 cols[j] = pa.array([o if s is None else s for o, s in zip(cols[j].to_pylist(), sizes, strict=True)], cols[j].type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sediment.llm.common import arrow_map, components, discard, prepare, stored
+from sediment.llm.common import arrow_map, components, discard, prepare, stored, tidy
 from sediment.llm.simhash import WORDS, fingerprint, links, one_of_each
 from sediment.storage import few
 
@@ -95,7 +95,7 @@ def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield rows(held)
 
-    top = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
+    top = docs.select("text").mapInArrow(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
     h, c = top["h"].to_numpy(), top["c"].to_numpy()
     order = np.argsort(h)
     return h[order], c[order]
@@ -190,7 +190,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             yield made(last[0][None], last[1][None], last[2][None], np.array([True]))
 
     ordered = rows.select("h", "s", "n", "i").repartition("h").sortWithinPartitions("h", "s")
-    return ordered.mapInArrow(run, ", ".join(f"{c} long" for c in _SHARED))
+    return ordered.mapInArrow(tidy(run), ", ".join(f"{c} long" for c in _SHARED))
 
 
 def _near(x: str | Column, y: str | Column) -> Column:

@@ -356,3 +356,17 @@ def test_licence_votes_and_score_go_by_position():
     assert not index.matches([*rest[::-1], *key])
     half = words[: len(words) // 3]
     assert not [m for m in index.matches(half) if m[0] == "unlicense"]
+
+
+def test_workers_forget_what_other_operators_keep():
+    """A worker that turns to another operator drops the fragments it knows; the same operator finds them again."""
+    from sediment.llm import bpe, common
+    from sediment.llm.queries import tokenizer_path
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = f.read()
+    coder = bpe._coder(spec)
+    coder.encode_all([b"some words here"])
+    assert list(common.tidy(iter, "bpe")([1, 2])) == [1, 2] and bpe._coder(spec) is coder and coder.known
+    assert list(common.tidy(iter)([1, 2])) == [1, 2] and not common.KEPT
+    assert bpe._coder(spec) is not coder and bpe._coder(spec).encode_all([b"some words here"]) == coder.encode_all([b"some words here"])
